@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.leakage import leaked_items
+from millrace.llm.near_copies import near_copies
 from millrace.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +28,10 @@ def query(name: str, sql: str | None = None):
 @query("p9_found")
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaked_items(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "eval_passages", "item_id", "text"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    claims = table(spark, base, "claim_records").select(F.lit("claim_records").alias("record_table"), F.concat("qid", F.lit("/"), "option").alias("key"), F.col("normalized_text").alias("text"))
+    chunks = table(spark, base, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("key"), "text")
+    return near_copies(claims.unionByName(chunks))
