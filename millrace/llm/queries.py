@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.distinctive_terms import term_scores
 from millrace.llm.leakage import leaked_items
 from millrace.llm.near_copies import near_copies
 from millrace.sources.tables import table
@@ -35,3 +36,22 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     claims = table(spark, base, "claim_records").select(F.lit("claim_records").alias("record_table"), F.concat("qid", F.lit("/"), "option").alias("key"), F.col("normalized_text").alias("text"))
     chunks = table(spark, base, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("key"), "text")
     return near_copies(claims.unionByName(chunks))
+
+
+def chunk_terms(spark: SparkSession, base: str) -> DataFrame:
+    chunks = table(spark, base, "chunks", "chunk_id", "section", "text")
+    return term_scores(chunks.select(F.col("chunk_id").alias("key"), F.concat_ws("\n", "section", "text").alias("text")), table(spark, base, "glossary_terms", "term"))
+
+
+@query(
+    "p1_found",
+    """
+    with c as (select chunk_id, any_value(concat_ws(chr(10), section, text)) as text from chunks group by chunk_id),
+    hit as (select chunk_id, term, (length(text) - length(replace(text, term, ''))) // length(term) as n from c, glossary_terms where contains(text, term)),
+    rare as (select term from hit group by term having count(*) * 100 <= (select count(*) from c))
+    select chunk_id, term from hit where n >= 3 and term in (select term from rare)
+    """,
+)
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    rare = F.col("records_with_term") * 100 <= F.col("n_records")
+    return chunk_terms(spark, base).filter((F.col("occurrences") >= 3) & rare).select(F.col("key").alias("chunk_id"), "term")
