@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.distinctive_terms import term_scores
 from millrace.llm.leakage import leaked_items
 from millrace.llm.near_copies import near_copies
+from millrace.llm.one_form import alike_pairs
 from millrace.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,11 @@ def chunk_terms(spark: SparkSession, base: str) -> DataFrame:
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     rare = F.col("records_with_term") * 100 <= F.col("n_records")
     return chunk_terms(spark, base).filter((F.col("occurrences") >= 3) & rare).select(F.col("key").alias("chunk_id"), "term")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    options = F.concat_ws("\x1e", F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("\x1f"), F.coalesce(e["value"], F.lit("")))))
+    questions = table(spark, base, "questions").select(F.lit("questions").alias("record_table"), F.col("qid").alias("key"), F.concat_ws("\x1d", "question", options).alias("text"))
+    documents = table(spark, base, "raw_documents").select(F.lit("raw_documents").alias("record_table"), F.col("doc_id").alias("key"), F.col("raw_text").alias("text"))
+    return alike_pairs(questions.unionByName(documents))
