@@ -11,6 +11,7 @@ from millrace.llm.distinctive_terms import term_scores
 from millrace.llm.leakage import leaked_items
 from millrace.llm.near_copies import near_copies
 from millrace.llm.one_form import alike_pairs
+from millrace.llm.splitting import needs, split_tables, split_texts
 from millrace.sources.tables import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,32 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     questions = table(spark, base, "questions").select(F.lit("questions").alias("record_table"), F.col("qid").alias("key"), F.concat_ws("\x1d", "question", options).alias("text"))
     documents = table(spark, base, "raw_documents").select(F.lit("raw_documents").alias("record_table"), F.col("doc_id").alias("key"), F.col("raw_text").alias("text"))
     return alike_pairs(questions.unionByName(documents))
+
+
+def _pieces(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    return {
+        "raw_documents": split_texts(table(spark, base, "raw_documents").select(F.col("doc_id").alias("key"), F.col("raw_text").alias("text"))),
+        "layout_tables": split_tables(table(spark, base, "layout_tables").select(F.col("table_id").alias("key"), "rows")),
+    }
+
+
+@query(
+    "p6_found",
+    r"""
+    with d as (select doc_id, length(raw_text) > 1800 as over, list_max(list_transform(regexp_split_to_array(replace(raw_text, '. ', chr(10)), '[\n\f。！？；!?;]'), lambda x: length(x))) as longest from raw_documents),
+    r as (select table_id, list_transform(rows, lambda x: list_sum(list_transform(x, lambda c: coalesce(length(c), 0) + 1))) as sizes from layout_tables)
+    select 'raw_documents' as item_table, doc_id as item_key, 'split' as need from d where over
+    union select 'raw_documents', doc_id, 'hard_cut' from d where longest > 1800
+    union select 'layout_tables', table_id, 'split' from r where list_sum(sizes) > 1200
+    union select 'layout_tables', table_id, 'hard_cut' from r where list_max(sizes) > 1200
+    """,
+)
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    found = [needs(pieces).select(F.lit(name).alias("item_table"), F.col("key").alias("item_key"), "need") for name, pieces in _pieces(spark, base).items()]
+    return found[0].unionByName(found[1])
+
+
+@query("p6_pieces")
+def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
+    made = [pieces.select(F.lit(name).alias("item_table"), F.col("key").alias("item_key"), "piece", "begin", "end", "cut", F.md5("text").alias("text_md5")) for name, pieces in _pieces(spark, base).items()]
+    return made[0].unionByName(made[1])
