@@ -11,6 +11,7 @@ from millrace.llm.distinctive_terms import term_scores
 from millrace.llm.leakage import leaked_items
 from millrace.llm.near_copies import near_copies
 from millrace.llm.one_form import alike_pairs
+from millrace.llm.scanned_pages import repair_pages
 from millrace.llm.splitting import needs, split_tables, split_texts
 from millrace.sources.tables import table
 
@@ -94,3 +95,17 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
     made = [pieces.select(F.lit(name).alias("item_table"), F.col("key").alias("item_key"), "piece", "begin", "end", "cut", F.md5("text").alias("text_md5")) for name, pieces in _pieces(spark, base).items()]
     return made[0].unionByName(made[1])
+
+
+def _repaired(spark: SparkSession, base: str) -> DataFrame:
+    return repair_pages(table(spark, base, "page_texts", "doc_id", "page", "text"), table(spark, base, "raw_documents", "doc_id", "title"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return _repaired(spark, base).select("doc_id", "page", F.explode("found").alias("f")).select("doc_id", "page", "f.line_no", "f.kind").distinct()
+
+
+@query("p4_repaired")
+def p4_repaired(spark: SparkSession, base: str) -> DataFrame:
+    return _repaired(spark, base).select("doc_id", "page", F.size("found").alias("n_found"), F.md5("clean").alias("clean_md5"))
