@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.abuse import found_categories, score_documents, source_rates
 from millrace.llm.distinctive_terms import term_scores
 from millrace.llm.leakage import leaked_items
 from millrace.llm.near_copies import near_copies
@@ -109,3 +110,17 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 @query("p4_repaired")
 def p4_repaired(spark: SparkSession, base: str) -> DataFrame:
     return _repaired(spark, base).select("doc_id", "page", F.size("found").alias("n_found"), F.md5("clean").alias("clean_md5"))
+
+
+def _abuse(spark: SparkSession, base: str) -> DataFrame:
+    return score_documents(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "review_labels"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return found_categories(_abuse(spark, base))
+
+
+@query("p10_rates")
+def p10_rates(spark: SparkSession, base: str) -> DataFrame:
+    return source_rates(table(spark, base, "documents", "doc_id", "source"), _abuse(spark, base))
