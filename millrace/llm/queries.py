@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.abuse import found_categories, score_documents, source_rates
 from millrace.llm.distinctive_terms import term_scores
 from millrace.llm.leakage import leaked_items
+from millrace.llm.markup import clean_documents
 from millrace.llm.near_copies import near_copies
 from millrace.llm.one_form import alike_pairs
 from millrace.llm.scanned_pages import repair_pages
@@ -124,3 +125,19 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 @query("p10_rates")
 def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     return source_rates(table(spark, base, "documents", "doc_id", "source"), _abuse(spark, base))
+
+
+def _cleaned(spark: SparkSession, base: str) -> DataFrame:
+    bundles = clean_documents(table(spark, base, "docling_bundles").select(F.col("doc_id").alias("key"), F.col("markdown").alias("text")))
+    documents = clean_documents(table(spark, base, "raw_documents").select(F.col("doc_id").alias("key"), F.col("raw_text").alias("text")))
+    return bundles.withColumn("item_table", F.lit("docling_bundles")).unionByName(documents.withColumn("item_table", F.lit("raw_documents")))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return _cleaned(spark, base).select("item_table", F.col("key").alias("item_key"), F.explode("markup").alias("markup")).distinct()
+
+
+@query("p7_clean")
+def p7_clean(spark: SparkSession, base: str) -> DataFrame:
+    return _cleaned(spark, base).select("item_table", F.col("key").alias("item_key"), F.length("clean").alias("n_chars"), F.md5("clean").alias("clean_md5"))
