@@ -13,6 +13,7 @@ from millrace.llm.leakage import leaked_items
 from millrace.llm.markup import clean_documents
 from millrace.llm.near_copies import near_copies
 from millrace.llm.one_form import alike_pairs
+from millrace.llm.packing import pack_documents
 from millrace.llm.scanned_pages import repair_pages
 from millrace.llm.splitting import needs, split_tables, split_texts
 from millrace.sources.tables import table
@@ -141,3 +142,8 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 @query("p7_clean")
 def p7_clean(spark: SparkSession, base: str) -> DataFrame:
     return _cleaned(spark, base).select("item_table", F.col("key").alias("item_key"), F.length("clean").alias("n_chars"), F.md5("clean").alias("clean_md5"))
+
+
+@query("p8_packed")
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    return pack_documents(table(spark, base, "documents", "doc_id", "text"))
