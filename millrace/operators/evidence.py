@@ -1,0 +1,166 @@
+"""Questions, claims, evidence contracts, verdicts, and selection of evidence under budgets."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions.text import char_ngrams, dates, jaccard, numbers, plain_year, present, without_space
+
+# Phrases and markers of question stems and claims.
+INCORRECT = "不正确的?是|不准确的?是|错误的?是|不符合(?:的是|下列)|不属于(?:的是|下列)|不包括(?:的是|下列)|说法不正确|不成立"
+SCOPE_MARKERS = ["审批", "报告", "报送", "备案", "金额", "门槛", "期限", "条件", "范围", "情形", "责任", "赔付", "除外", "指标", "增速", "高于", "低于"]
+UNIVERSAL_MARKERS = ["均", "全部", "所有", "分别", "两份", "各"]
+COMPARISON_MARKERS = ["高于", "低于", "超过", "不超过", "多于", "少于", "差额", "相比"]
+COMPOUND_MARKERS = ["且", "同时", "并且", "以及"]
+QUALIFIERS = {"down": ["负增长", "下降", "下滑", "回落"], "up": ["正增长", "增长", "提升", "上升"], "before": ["早于"], "after": ["晚于"], "higher": ["高于", "高出", "超过"], "lower": ["低于", "低出", "不足"], "usd": ["美元"], "eur": ["欧元"], "cny": ["人民币"]}
+PUNCTUATION = "[\\s，。；：、？！,!?;:（）()【】\\[\\]《》“”\"'·—\\-_/]+"
+CLAIM_NUMBER = "[0-9]+(?:\\.[0-9]+)?(?:万亿元|亿元人民币|亿美元|亿欧元|亿元|万元|个百分点|个工作日|个自然日|个月|倍|元|年|日|%)?"
+
+
+def any_of(text: Column, markers: list[str]) -> Column:
+    return text.rlike("|".join(markers))
+
+
+def options_of(questions: DataFrame) -> DataFrame:
+    """(qid, option, text) of each option."""
+    return questions.select("qid", F.explode(F.map_entries("options")).alias("o")).select("qid", F.col("o.key").alias("option"), F.col("o.value").alias("text"))
+
+
+def question_text(question: Column, options: Column) -> Column:
+    """The stem with all options by letter."""
+    return F.concat_ws(" ", question, F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), " "))
+
+
+def rule_queries(questions: DataFrame, most: int = 8) -> DataFrame:
+    """(qid, list_id, text): the stem with all options, its numbers, its dates, and one query per option; distinct, at most ``most``."""
+    stem = F.trim("question")
+    options = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat_ws(" ", stem, e["key"], e["value"]))
+    every = question_text(stem, F.col("options"))
+    made = F.concat(F.array(every), F.array(F.concat_ws(" ", stem, F.array_join(numbers(every), " ")), F.concat_ws(" ", stem, F.array_join(dates(every), " "))), options)
+    return questions.select("qid", F.posexplode(F.slice(F.array_distinct(F.transform(made, lambda x: F.trim(x))), 1, most)).alias("list_id", "text")).filter("text <> ''")
+
+
+def claim_type(text: Column) -> Column:
+    """comparison, clause, metric, date or fact, in this order."""
+    return (
+        F.when(any_of(text, COMPARISON_MARKERS), "comparison").when(text.rlike("第[一二三四五六七八九十百0-9]+条"), "clause")
+        .when(F.size(F.filter(numbers(text), lambda x: ~plain_year(x))) > 0, "metric").when(F.size(dates(text)) > 0, "date").otherwise("fact")
+    )
+
+
+def claim_targets(questions: DataFrame) -> DataFrame:
+    """(qid, option, text, claim_type, numbers, dates) of each option."""
+    return options_of(questions).select("qid", "option", "text", claim_type(F.col("text")).alias("claim_type"), numbers(F.col("text")).alias("numbers"), dates(F.col("text")).alias("dates"))
+
+
+def envelope(questions: DataFrame) -> DataFrame:
+    """What a stem asks for: (qid, selection_rule, scope_markers, requires_all_documents, requires_comparison, requires_compound)."""
+    text = without_space(F.col("question"))
+    return questions.select(
+        "qid", F.when(text.rlike(INCORRECT), "incorrect").otherwise("correct").alias("selection_rule"), present(text, SCOPE_MARKERS).alias("scope_markers"),
+        ((F.size("doc_ids") > 1) & any_of(text, UNIVERSAL_MARKERS)).alias("requires_all_documents"), any_of(text, COMPARISON_MARKERS).alias("requires_comparison"), any_of(text, COMPOUND_MARKERS).alias("requires_compound"),
+    )
+
+
+def selection_verdict(fact: Column, scope: Column, rule: Column) -> Column:
+    """true, false or uncertain from the truth of a fact and of its scope; an empty string for other inputs."""
+    states = ["true", "false", "uncertain"]
+    inverted = F.when(fact == "false", "true").otherwise("false")
+    return (
+        F.when(~fact.isin(states) | ~scope.isin(states), "").when(scope == "false", "false").when((scope == "uncertain") | (fact == "uncertain"), "uncertain")
+        .when(rule == "incorrect", inverted).otherwise(F.when(fact == "true", "true").otherwise("false"))
+    )
+
+
+def normalize_claim(text: Column) -> Column:
+    """Lower case without punctuation and blanks; decimal points stay."""
+    return F.regexp_replace(F.lower(text), PUNCTUATION, "")
+
+
+def numeric_signature(text: Column) -> Column:
+    return F.array_sort(F.regexp_extract_all(text, F.lit(f"({CLAIM_NUMBER})"), 1))
+
+
+def qualifier_signature(text: Column) -> Column:
+    return F.array_sort(F.filter(F.array(*[F.when(any_of(text, terms), F.lit(label)) for label, terms in QUALIFIERS.items()]), lambda x: x.isNotNull()))
+
+
+def claim_similarity(a: Column, b: Column) -> Column:
+    """1 for equal texts, the share of the shorter where one contains the other, else the overlap of their pairs of characters."""
+    contained = F.contains(a, b) | F.contains(b, a)
+    return F.when(a == b, 1.0).when(contained, F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))).otherwise(jaccard(F.array_distinct(char_ngrams(a, 2, 2)), F.array_distinct(char_ngrams(b, 2, 2))))
+
+
+def claim_conflicts(claims: DataFrame, least: float = 0.78) -> DataFrame:
+    """Pairs of claims with equal numbers and qualifiers, a shared document and opposite selection, similar enough.
+
+    (left_key, right_key, similarity). Claims meet by (document, numbers, qualifiers), not pairwise; null selections meet nobody.
+    """
+    keyed = claims.filter("selected is not null").select(F.concat("qid", F.lit("/"), "option").alias("key"), "normalized_text", "selected", F.array_join(F.array_sort("numbers"), "|").alias("n"), F.array_join(F.array_sort("qualifiers"), "|").alias("q"), "doc_ids").dropDuplicates(["key"])
+    rows = keyed.withColumn("doc_id", F.explode(F.array_distinct("doc_ids"))).drop("doc_ids")
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.selected") != F.col("b.selected")))
+    similarity = F.round(claim_similarity(F.col("a.normalized_text"), F.col("b.normalized_text")), 4)
+    return met.select(F.col("a.key").alias("left_key"), F.col("b.key").alias("right_key"), similarity.alias("similarity")).filter(F.col("similarity") >= least).distinct()
+
+
+def contracts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per (qid, option): required, observed and missing documents and their coverage. Evidence has qid, option, doc_id."""
+    seen = evidence.groupBy("qid", "option").agg(F.array_sort(F.collect_set("doc_id")).alias("observed"))
+    both = claims.join(seen, ["qid", "option"], "left").withColumn("observed", F.coalesce("observed", F.array().cast("array<string>")))
+    required = F.array_sort(F.array_distinct("doc_ids"))
+    covered = F.array_intersect(required, F.col("observed"))
+    share = F.when(F.size(required) > 0, F.size(covered) / F.size(required)).otherwise(F.lit(1.0))
+    return both.select("qid", "option", required.alias("required"), "observed", F.array_sort(F.array_except(required, F.col("observed"))).alias("missing"), F.round(share, 4).alias("coverage"))
+
+
+def assemble_answers(verdicts: DataFrame) -> DataFrame:
+    """(qid, answer) from (qid, option, answer_format, selected, confidence): all selected letters, or the most confident one."""
+    chosen = verdicts.groupBy("qid", "answer_format").agg(
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("selected"), F.col("option")))), "").alias("multi"),
+        F.max_by(F.when(F.col("selected"), F.col("option")), F.when(F.col("selected"), F.struct(F.col("confidence"), -F.ascii("option")))).alias("single"),
+    )
+    return chosen.select("qid", F.when(F.col("answer_format") == "multi", F.col("multi")).otherwise(F.coalesce("single", F.lit(""))).alias("answer"))
+
+
+def _select(k: int, most: int, by: list[str]):
+    def select(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["score", "chunk_id"], ascending=[False, True], ignore_index=True)
+        rest, taken, covered, docs, used = list(range(len(group))), [], set(), set(), 0
+        grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in group["text"].fillna("")]
+        top = max(group["score"].max(), 1e-9) if len(group) else 1.0
+        while rest and len(taken) < k:
+            best, gain = None, 0.0
+            for i in rest:
+                if taken and used + len(group["text"][i] or "") > most:
+                    continue
+                new = len(set(group["slots"][i] if group["slots"][i] is not None else []) - covered)
+                like = max((len(grams[i] & grams[j]) / (len(grams[i] | grams[j]) or 1) for j in taken), default=0.0)
+                value = 2.2 * new + 0.55 * group["score"][i] / top + 0.8 * (group["doc_id"][i] not in docs) + 0.45 * (1 - like)
+                if value > gain:
+                    best, gain = i, value
+            if best is None:
+                break
+            rest.remove(best)
+            taken.append(best)
+            covered |= set(group["slots"][best] if group["slots"][best] is not None else [])
+            docs.add(group["doc_id"][best])
+            used += len(group["text"][best] or "")
+        out = group.iloc[taken][[*by, "chunk_id"]].copy()
+        out["place"] = range(1, len(taken) + 1)
+        return out
+
+    return select
+
+
+def select_evidence(candidates: DataFrame, k: int = 8, most: int = 6000, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Greedy choice by what each candidate adds: uncovered slots, score, a new document, new text; within k and ``most`` characters.
+
+    ``candidates`` has the columns of ``by``, chunk_id, doc_id, score, slots (array of strings) and text. The candidates of one
+    key are a ranked list of bounded length, which is why a key fits a task.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*by, "chunk_id").schema)
+    return candidates.select(*by, "chunk_id", "doc_id", "score", "slots", "text").groupBy(*by).applyInPandas(_select(k, most, list(by)), f"{fields}, place long")
+
