@@ -62,7 +62,8 @@ def history_bounds(runs: Mapping[str, Mapping[str, str]], correct: Mapping[str,
 
     forward = [{tuple([0] * len(names))}]
     for qid in qids:
-        forward.append({s for state in forward[-1] for g in set(gains(qid).values()) if all(x <= t for x, t in zip(s := tuple(a + b for a, b in zip(state, g)), target))})
+        reached = {tuple(a + b for a, b in zip(state, g)) for state in forward[-1] for g in set(gains(qid).values())}
+        forward.append({state for state in reached if all(x <= t for x, t in zip(state, target))})
     backward, out = {target} & forward[-1], {}
     for i in range(len(qids) - 1, -1, -1):
         of = gains(qids[i])
