@@ -32,12 +32,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("p9_found")
+def _runs(table_name: str, key: str) -> str:
+    """SQL of (key, run) for each run of 40 letters, digits and Han characters of a table's texts."""
+    wide, plain = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+    read = f"regexp_replace(lower(translate(text, '{wide}', '{plain}')), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
+    return f"select distinct {key}, unnest(list_transform(range(1, length(t) - 38), lambda i: substring(t, i, 40))) as run from (select {key}, {read} as t from {table_name} where text is not null)"
+
+
+@query("p9_found", f"select distinct doc_id, item_id from ({_runs('documents', 'doc_id')}) join ({_runs('eval_passages', 'item_id')}) using (run)")
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaked_items(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "eval_passages", "item_id", "text"))
 
 
-@query("p2_found")
+@query(
+    "p2_found",
+    """
+    with r as (select distinct 'claim_records' as record_table, qid || '/' || option as key, normalized_text as text from claim_records union select 'chunks', chunk_id, text from chunks),
+    g as materialized (select record_table, key, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)))) as gram from r where length(text) >= 3),
+    n as (select record_table, key, count(*) as n from g group by all),
+    s as (select a.record_table, a.key as key_a, b.key as key_b, count(*) as shared from g a join g b on a.record_table = b.record_table and a.gram = b.gram and a.key < b.key group by all having count(*) >= 20)
+    select s.record_table, key_a, key_b from s join n x on x.record_table = s.record_table and x.key = key_a join n y on y.record_table = s.record_table and y.key = key_b where shared >= 0.65 * (x.n + y.n - shared)
+    """,
+)
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     claims = table(spark, base, "claim_records").select(F.lit("claim_records").alias("record_table"), F.concat("qid", F.lit("/"), "option").alias("key"), F.col("normalized_text").alias("text"))
     chunks = table(spark, base, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("key"), "text")
