@@ -31,6 +31,7 @@ def _graph(terms: list[str], window: int, reach: int):
         for number, term in enumerate(terms):
             automaton.add_word(term, number)
         automaton.make_automaton()
+        scan = automaton.iter if terms else lambda text: ()
         lengths = [len(t) for t in terms]
         find = WORD.findall
         for batch in batches:
@@ -40,7 +41,7 @@ def _graph(terms: list[str], window: int, reach: int):
                     continue
                 neighbours: dict[int, set[str]] = {}
                 seen: dict[int, int] = {}
-                for last, term in automaton.iter(text):
+                for last, term in scan(text):
                     begin = last + 1 - lengths[term]
                     around = find(text, max(0, begin - reach), begin)[-window:] + find(text, last + 1, last + 1 + reach)[:window]
                     if term in seen:

@@ -45,7 +45,7 @@ RULE = re.compile(r"^[^\S\n]{0,3}(?:(?:-[^\S\n]*){3,}|(?:\*[^\S\n]*){3,}|(?:_[^\
 BULLET = re.compile(r"^([^\S\n]*)[-*+][^\S\n]+(?!\d+[^\S\n]*-[^\S\n]*$)(\S.*)$", re.M)
 ORDERED = re.compile(r"(?:^[^\S\n]*\d{1,3}[.)][^\S\n]+\S.*(?:\n|\Z)){2,}", re.M)
 QUOTE = re.compile(r"^[^\S\n]{0,3}>[^\S\n]?(?=\S)(.*)$", re.M)
-TABLE_LINE = re.compile(r"^[^\S\n]*\|?(?:[^\S\n]*:?-{3,}:?[^\S\n]*\|)+(?:[^\S\n]*:?-{3,}:?[^\S\n]*)?$", re.M)
+TABLE_LINE = re.compile(r"^[^\S\n]*\|?(?:[^\S\n]*:?-+:?[^\S\n]*\|)+(?:[^\S\n]*:?-+:?[^\S\n]*)?$", re.M)
 TABLE_ROW = re.compile(r"^[^\S\n]*\|(.*)\|[^\S\n]*$", re.M)
 IMAGE = re.compile(r"!\[([^\]\n]*)\]\([^()\s]+(?:\s+\"[^\"]*\")?\)")
 LINK = re.compile(r"\[([^\[\]\n]+)\]\((?:[a-z]+://|/|#|\.|[\w-]+\.)[^()\s]*(?:\s+\"[^\"]*\")?\)")

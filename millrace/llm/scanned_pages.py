@@ -283,6 +283,11 @@ def cut_word(line: str, following: str, words: dict[str, int]) -> str | None:
     return None if known(head) and known(rest[0]) else mark
 
 
+def printed_width(line: str) -> int:
+    """Width in print: Han characters and full-width marks are twice as wide as letters."""
+    return len(line) + sum(c > "⺀" for c in line)
+
+
 def repair_page(text: str, page: int | None, title: str | None, model: dict) -> tuple[list[tuple[int, str]], str]:
     """((line number, kind) of what is wrong, the repaired text in paragraphs)."""
     lines = text.split("\n")
@@ -290,7 +295,7 @@ def repair_page(text: str, page: int | None, title: str | None, model: dict) ->
     found = [(i + 1, "furniture") for i, label in enumerate(labels) if label != 1 and lines[i].strip()]
     body = [i for i, label in enumerate(labels) if label == 1 and lines[i].strip()]
     paragraphs: list[str] = []
-    open_, width = "", max([len(lines[i]) for i in body], default=0)
+    open_, width = "", max([printed_width(lines[i]) for i in body], default=0)
     for k, i in enumerate(body):
         following = lines[body[k + 1]] if k + 1 < len(body) else ""
         before = lines[body[k - 1]][-1:] if k else ""
@@ -303,9 +308,9 @@ def repair_page(text: str, page: int | None, title: str | None, model: dict) ->
             open_ += CUT_MARK.sub(r"\1", fixed)
             continue
         open_ += fixed.strip()
-        ends = re.search(r"[。！？.!?]$", fixed.strip()) and len(lines[i]) < 0.8 * width
+        ends = re.search(r"[。！？.!?]$", fixed.strip()) and printed_width(lines[i]) < 0.8 * width
         blank_next = k + 1 < len(body) and body[k + 1] != i + 1
-        short = len(fixed.strip()) < 0.5 * width and not SENTENCE_END.search(fixed.strip())
+        short = printed_width(fixed.strip()) < 0.5 * width and not SENTENCE_END.search(fixed.strip())
         if not following or ends or blank_next or HEADING.match(following) or HEADING.match(fixed) or short:
             paragraphs.append(open_)
             open_ = ""
