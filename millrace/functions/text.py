@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -45,10 +45,29 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.when(F.length(text) >= low, runs).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
+def term_runs(text: Column) -> Column:
+    """Runs of ASCII word characters and runs of Han characters, lower case."""
+    return F.regexp_extract_all(F.lower(narrow(F.coalesce(text, F.lit("")))), F.lit(f"({TERM})"), 1)
+
+
 def tokenize(text: Column) -> Column:
     """Terms of a text: runs of ASCII word characters as they are, runs of Han characters as their n-grams of 2 to 4."""
-    terms = F.regexp_extract_all(F.lower(narrow(F.coalesce(text, F.lit("")))), F.lit(f"({TERM})"), 1)
-    return F.flatten(F.transform(terms, lambda t: F.when(t.rlike("^[一-鿿]"), char_ngrams(t)).otherwise(F.array(t))))
+    return F.flatten(F.transform(term_runs(text), lambda t: F.when(t.rlike("^[一-鿿]"), char_ngrams(t)).otherwise(F.array(t))))
+
+
+def token_count(runs: Column) -> Column:
+    """How many terms tokenize() makes of the runs of a text, without making them."""
+    of = lambda t: F.when((t >= "一") & (F.length(t) > 1), F.length(t) - 1 + F.greatest(F.length(t) - 2, F.lit(0)) + F.greatest(F.length(t) - 3, F.lit(0))).otherwise(F.lit(1))
+    return F.aggregate(runs, F.lit(0), lambda total, t: total + of(t))
+
+
+def token_rows(df: DataFrame, runs: str, *kept: str) -> DataFrame:
+    """One row (kept columns, term) per term of the array column ``runs``: tokenize() as generators in compiled code, no lambdas."""
+    each = df.select(*kept, F.explode(runs).alias("_run"))
+    several = (F.col("_run") >= "一") & (F.length("_run") > 1)
+    placed = each.select(*kept, "_run", F.explode(F.sequence(F.lit(1), F.when(several, F.length("_run") - 1).otherwise(F.lit(1)))).alias("_i"))
+    gram = lambda n: F.when(several & (F.col("_i") + n - 1 <= F.length("_run")), F.substring("_run", F.col("_i"), F.lit(n)))
+    return placed.select(*kept, F.explode(F.array(F.coalesce(gram(2), F.col("_run")), gram(3), gram(4))).alias("term")).filter("term is not null")
 
 
 def numbers(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import dates, numbers, tokenize
+from millrace.functions.text import dates, numbers, token_rows, tokenize
 from millrace.operators import evidence, index, lookup, metrics, ranking
 from millrace.plans import sqltext as S
 from millrace.plans.registry import query
@@ -61,7 +61,7 @@ def x_score_repeated(spark, base):
     select term, count(*) as df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from t, n group by term, n having count(*) >= 50""")
 def x_term_stats(spark, base):
     tokens = index.tokenized(chunks(spark, base), F.col("body"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter("df >= 50")
+    df = token_rows(tokens, "runs", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df")).filter("df >= 50")
     return df.withColumn("n", index.corpus_stats(tokens).select("n").scalar()).select("term", "df", F.round(index.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
@@ -88,8 +88,8 @@ DOCUMENTS = """select doc_id, left(string_agg(body, chr(10) order by seq), 24000
     r as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rank from sc) select qid, doc_id, rank, round(score, 4) as score from r where rank <= 8""")
 def x_document_search(spark, base):
     texts = index.document_texts(lookup.with_sequence(chunks(spark, base)))
-    found = index.score(index.tokenized(texts, F.col("body"), "doc_id"), questions(spark, base).select("qid", F.col("question").alias("text")), key="doc_id")
-    return index.top_k(found, 8, ["qid"], "doc_id").select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
+    found = index.best_scores(index.tokenized(texts, F.col("body"), "doc_id"), questions(spark, base).select("qid", F.col("question").alias("text")), 8, key="doc_id")
+    return found.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 NODES = f"select doc_id || '#' || coalesce('p' || page, 's' || nullif(section, ''), 'w') as node, string_agg(body, ' ' order by chunk_id) as body from ({S.CHUNKS}) group by 1"
