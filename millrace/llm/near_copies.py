@@ -1,8 +1,8 @@
 """Records that are copies of each other but for small edits, at any number of records.
 
 Golay-code fuzzy hashing. Of each distinct text a few anchors are drawn: runs of ``anchor`` characters, by consistent weighted
-sampling with weights that fall with the run's frequency in the whole collection (counted in a table of fixed size), so that
-boilerplate is rarely drawn and copies draw the same anchors. Each anchor goes with one 23-bit segment of the text's
+sampling with weights that fall with the run's frequency in the whole collection (every run is counted), so that boilerplate
+is rarely drawn and copies draw the same anchors. Each anchor goes with one 23-bit segment of the text's
 fingerprint. A bit of a segment is set where the smallest hash of the text's shingles in that bit's slot falls into one
 eighth, so copies differ in few bits. The segment is decoded by the binary Golay code: all codewords that are nearest to it
 or to a vector one bit away give an index, so two segments that differ in up to two bits share one. By the pigeonhole
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ SHINGLE = 3
 ANCHOR = 10
 ANCHORS = 8
 SEGMENTS = 4
-COUNTERS = 1 << 20
+GROUP_CHARACTERS = 2_000_000
 DENSITY = 7
 SKETCH = 32
 SKETCH_ERRORS = 10
@@ -63,34 +62,64 @@ def golay_indices(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(new)[0], decoded[new].astype(np.int64)
 
 
-def _count(anchor: int, counters: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(counters, np.int64)
-        for batch in batches:
-            points, offsets = codepoints([t or "" for t in batch.column(0).to_pylist()])
-            hashes = rolling(points, anchor)[owners(offsets, anchor)[0]]
-            table += np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (counters - 1), minlength=counters)
-        blocks = np.minimum(table, 2**16 - 1).astype(np.uint16).reshape(-1, 1 << 12)
-        used = np.nonzero(blocks.any(1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counts"])
+def _places(points: np.ndarray, offsets: np.ndarray, anchor: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of ``anchor`` characters: its text's number, its hash, and its bucket in the upper and 32 more bits in the lower half."""
+    at, text = owners(offsets, anchor)
+    hashes = rolling(points, anchor)[at]
+    return text, hashes, ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+
+
+def _extended(texts: list[str], anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text shorter than an anchor is its own anchor: it is extended by a character that no text has."""
+    return codepoints([t + "￿" * max(0, anchor - len(t)) for t in texts])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Integers of 32 bits byte by byte, which compresses small ones well."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
 
-    return count
 
+def _own_runs(anchor: int, buckets: int):
+    def own(group: pa.Table) -> pa.Table:
+        """The distinct runs of a group of texts by bucket, in order, as differences, with their occurrences in the group."""
+        places, counts = np.unique(_places(*_extended(group["text"].to_pylist(), anchor), anchor, buckets)[2], return_counts=True)
+        bounds = np.searchsorted(places, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+        low = (places & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        rows = [(b, _packed(np.diff(low[i:j], prepend=0)), _packed(counts[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])) if i < j]
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.Table.from_arrays([pa.array([group["g"][0].as_py()] * len(rows), pa.int32()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["g", "bucket", "runs", "counts"])
 
-def _sum_blocks(block: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << 12, np.int64)
-    for counts in block["counts"]:
-        total += np.frombuffer(counts, np.uint16)
-    return pd.DataFrame({"block": [block["block"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+    return own
 
 
-def run_frequencies(texts: DataFrame, anchor: int = ANCHOR, counters: int = COUNTERS) -> np.ndarray:
-    """Occurrences of all runs of ``anchor`` characters of all texts, by hash into ``counters`` counters (4 MB, whatever the input)."""
-    parts = texts.select("text").mapInArrow(_count(anchor, counters), "block int, counts binary")
-    table = np.zeros(counters, np.int32).reshape(-1, 1 << 12)
-    for row in parts.groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").toLocalIterator():
-        table[row["block"]] = np.frombuffer(row["counts"], np.int32)
-    return table.reshape(-1)
+def _all_counts(bucket: pa.Table) -> pa.Table:
+    """For each group the code of the total occurrences of each of its runs of this bucket, in its order."""
+    parts = [np.cumsum(_unpacked(r).astype(np.int64)) for r in bucket["runs"].to_pylist()]
+    runs, which = np.unique(np.concatenate(parts), return_inverse=True)
+    counts = np.concatenate([_unpacked(c) for c in bucket["counts"].to_pylist()])
+    codes = count_codes(np.bincount(which, counts, len(runs)))[which]
+    ends = np.cumsum([len(p) for p in parts])
+    packed = [zlib.compress(codes[end - len(p) : end].tobytes(), 1) for p, end in zip(parts, ends)]
+    return pa.Table.from_arrays([bucket["g"], bucket["bucket"], pa.array(packed, pa.binary())], ["g", "bucket", "codes"])
+
+
+def count_codes(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte: exact up to RARE, then by steps of a quarter of a power of two."""
+    return np.where(counts <= RARE, counts, RARE + np.minimum(np.round(4 * np.log2(np.maximum(counts, RARE) / RARE)), 240)).astype(np.uint8)
+
+
+def run_counts(grouped: DataFrame, buckets: int, anchor: int = ANCHOR) -> DataFrame:
+    """(g, bucket, codes): occurrences in all texts of each distinct run of a group of texts. ``grouped`` has g, text and more.
+
+    Groups send each of their distinct runs once to the run's bucket, which adds up the counts and sends them back in the
+    order they came, so that nothing grows with the input but the number of groups. Runs are told apart by bucket and 32 bits.
+    """
+    own = grouped.groupBy("g").applyInArrow(_own_runs(anchor, buckets), "g int, bucket int, runs binary, counts binary")
+    return own.groupBy("bucket").applyInArrow(_all_counts, "g int, bucket int, codes binary")
 
 
 def slot_minima(points: np.ndarray, offsets: np.ndarray, slots: int, seed: int) -> np.ndarray:
@@ -124,11 +153,8 @@ def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([ids.slice(begin, 2048), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], ["id", "s1", "s2"])
 
 
-def anchors(points: np.ndarray, offsets: np.ndarray, frequencies: np.ndarray, anchor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: np.ndarray, hashes: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, run hash) of the n runs of each text drawn by weight 1 / frequency; all runs where there are fewer."""
-    at, text = owners(offsets, anchor)
-    hashes = rolling(points, anchor)[at]
-    count = frequencies[(hashes >> np.uint64(20)).astype(np.int64) & (len(frequencies) - 1)]
     shared = count > 1  # a run that occurs once can't be shared
     text, hashes, weight = text[shared], hashes[shared], 1.0 / np.maximum(count[shared], RARE)
     chance = ((mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
@@ -141,26 +167,28 @@ def anchors(points: np.ndarray, offsets: np.ndarray, frequencies: np.ndarray, an
     return text[rank < n], hashes[rank < n]
 
 
-def _keys(frequencies, anchor: int, n_anchors: int, n_segments: int):
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequencies.value
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            seeds = np.array([zlib.crc32((t or "").encode()) for t in batch.column(2).to_pylist()], np.uint64)
+def _keys(anchor: int, n_anchors: int, n_segments: int, buckets: int):
+    def keys(group: pa.Table, counted: pa.Table) -> pa.Table:
+        made = []
+        texts, seeds = group["text"].to_pylist(), np.array([zlib.crc32((t or "").encode()) for t in group["record_table"].to_pylist()], np.uint64)
+        if texts:
+            parts = sorted(zip(counted["bucket"].to_pylist(), counted["codes"].to_pylist()))
+            codes = np.frombuffer(b"".join(zlib.decompress(c) for _, c in parts), np.uint8).astype(np.int64)
+            text, hashes, places = _places(*_extended(texts, anchor), anchor, buckets)
+            known, which = np.unique(places, return_inverse=True)
+            if len(known) != len(codes):
+                raise RuntimeError("the counts of a group of texts are not those of its runs")
+            values = np.where(codes <= RARE, codes, RARE * 2.0 ** ((codes - RARE) / 4))
+            text, run = anchors(text, hashes, values[which], n_anchors)
             for begin in range(0, len(texts), 2048):
-                points, offsets = codepoints(texts[begin : begin + 2048])
-                # A text shorter than an anchor is its own anchor: it is extended by a character that no text has.
-                short = [t + "￿" * max(0, anchor - len(t)) for t in texts[begin : begin + 2048]]
-                if sum(map(len, short)) != len(points):
-                    text, run = anchors(*codepoints(short), table, anchor, n_anchors)
-                else:
-                    text, run = anchors(points, offsets, table, anchor, n_anchors)
-                prints, sketch = segments(points, offsets, n_segments)
-                segment = (run % np.uint64(n_segments)).astype(np.int64)
-                which, index = golay_indices(prints[text, segment])
-                key = mix(mix(run[which] ^ seeds[begin + text[which]]) * np.uint64(4096) + index.astype(np.uint64)) & np.uint64(0xFFFFFFFF << 32)
-                packed = key.view(np.int64) | sketch[text[which]]
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, 2048).take(pa.array(text[which])), pa.array(packed)], ["id", "packed"])
+                i, j = np.searchsorted(text, (begin, begin + 2048))
+                prints, sketch = segments(*codepoints(texts[begin : begin + 2048]), n_segments)
+                own, runs = text[i:j] - begin, run[i:j]
+                which, index = golay_indices(prints[own, (runs % np.uint64(n_segments)).astype(np.int64)])
+                key = mix(mix(runs[which] ^ seeds[begin + own[which]]) * np.uint64(4096) + index.astype(np.uint64)) & np.uint64(0xFFFFFFFF << 32)
+                packed = key.view(np.int64) | sketch[own[which]]
+                made.append(pa.Table.from_arrays([group["id"].slice(begin, 2048).take(pa.array(own[which])), pa.array(packed)], ["id", "packed"]))
+        return pa.concat_tables(made) if made else pa.table({"id": pa.array([], pa.int64()), "packed": pa.array([], pa.int64())})
 
     return keys
 
@@ -206,14 +234,14 @@ def near_copies(records: DataFrame, threshold: float = 0.65, n_anchors: int = AN
     different texts are given between these representatives of the classes, so that a third of all rows being exact copies
     costs one row each. Null texts and texts below three characters match nothing.
     """
-    spark = records.sparkSession
     records = records.select("record_table", "key", "text").filter((F.length("text") >= SHINGLE) & F.col("key").isNotNull())
     records = records.withColumn("id", F.xxhash64("record_table", "text"))
-    # Counts of all rows, copies and redelivered ones included: they only steer which runs are drawn.
-    frequencies = spark.sparkContext.broadcast(run_frequencies(records))
     # One aggregate holds all columns, so that every use of it has the same plan and the texts are shuffled once.
     texts = records.groupBy("id").agg(F.min(F.struct("key", "record_table", "text")).alias("r"))
-    keys = texts.select("id", "r.text", "r.record_table").mapInArrow(_keys(frequencies, ANCHOR, n_anchors, n_segments), "id long, packed long")
+    groups = 1 + (records.agg(F.sum(F.length("text"))).first()[0] or 0) // GROUP_CHARACTERS
+    grouped = texts.select("id", "r.text", "r.record_table", F.pmod("id", F.lit(groups)).cast("int").alias("g"))
+    counts = run_counts(grouped, groups)
+    keys = grouped.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_keys(ANCHOR, n_anchors, n_segments, groups), "id long, packed long")
     # The upper half of packed is the key, the lower half the sketch.
     same_key = F.shiftright("a.packed", 32) == F.shiftright("b.packed", 32)
     errors = F.bit_count((F.col("a.packed").bitwiseXOR(F.col("b.packed"))).bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -78,6 +78,22 @@ def test_near_copies_against_brute_force(spark):
     assert got <= want and len(got & want) >= 0.97 * len(want)
 
 
+def test_runs_are_counted_at_any_number(spark):
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(0x4E00, 0x9E00)]
+    texts = ["".join(rng.choices(letters, k=1000)) for _ in range(1500)]  # more runs than a table of 2^20 counters can tell apart
+    texts += [texts[0], "甲乙丙" * 3, texts[1][:500] + "戊"]
+    frame = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "g int, text string")
+    got = {(r["g"], r["bucket"]): np.frombuffer(nc.zlib.decompress(r["codes"]), np.uint8) for r in nc.run_counts(frame, 3).collect()}
+    every = np.concatenate([codes for codes in got.values()])
+    assert set(got) == {(g, b) for g in range(3) for b in range(3)}
+    # A run is once in each group that holds it: 991 runs a text, 1 of the short text, 492 of the last; 32 bits confuse a few.
+    assert 0 <= 1500 * 991 + 1 + 492 - len(every) < 100
+    # Shared: 991 runs within a group, 491 in two groups each; by 2^20 counters about a million would be.
+    assert 991 + 2 * 491 <= (every > 1).sum() < 2_400
+    assert nc.count_codes(np.array([1, 2, 8, 16, 10**9])).tolist() == [1, 2, 8, 12, 116]
+
+
 def test_near_copies_of_nothing_and_of_one_hot_text(spark):
     assert nc.near_copies(spark.createDataFrame([], RECORDS)).count() == 0
     hot = spark.range(3000).select(F.lit("t").alias("record_table"), F.format_string("k%05d", "id").alias("key"), F.lit("同一段文字在三分之一的记录里出现，一字不差地重复").alias("text"))
