@@ -87,11 +87,18 @@ DOCUMENTS = """select doc_id, left(string_agg(body, chr(10) order by seq), 24000
 @query("x_document_search", f"""with {S.bm25(DOCUMENTS, 'select qid, question as text from questions', 'body', key='doc_id')},
     r as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rank from sc) select qid, doc_id, rank, round(score, 4) as score from r where rank <= 8""")
 def x_document_search(spark, base):
-    texts = index.document_texts(lookup.with_sequence(chunks(spark, base)))
+    texts = index.document_texts(lookup.with_sequence(chunks(spark, base)), 24_000)
     found = index.best_scores(index.tokenized(texts, F.col("body"), "doc_id"), questions(spark, base).select("qid", F.col("question").alias("text")), 8, key="doc_id")
     return found.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query("x_document_search_whole", f"""with {S.bm25(DOCUMENTS.replace("left(string_agg(body, chr(10) order by seq), 24000)", "string_agg(body, chr(10) order by seq)"), 'select qid, question as text from questions', 'body', key='doc_id')},
+    r as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rank from sc) select qid, doc_id, rank, round(score, 4) as score from r where rank <= 8""")
+def x_document_search_whole(spark, base):
+    found = index.document_search(chunks(spark, base), questions(spark, base).select("qid", F.col("question").alias("text")))
+    return found.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
 NODES = f"select doc_id || '#' || coalesce('p' || page, 's' || nullif(section, ''), 'w') as node, string_agg(body, ' ' order by chunk_id) as body from ({S.CHUNKS}) group by 1"
 
 

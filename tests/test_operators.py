@@ -62,6 +62,16 @@ def test_written_index(spark, docs, tmp_path):
     assert a == {r["chunk_id"]: round(r["score"], 9) for r in index.search(docs, q).collect()}
 
 
+def test_document_search_covers_whole_documents(spark):
+    rows = [(f"c{i:03}", "long", "甲乙丙丁 " * 100) for i in range(60)] + [("c999", "long", "灯塔"), ("e1", "short", "灯塔 甲乙"), ("e2", "other", "戊己")]
+    parts = spark.createDataFrame(rows, "chunk_id string, doc_id string, body string")
+    q = spark.createDataFrame([("q", "灯塔")], "qid string, text string")
+    got = {r["doc_id"]: r["score"] for r in index.document_search(parts, q).collect()}
+    assert set(got) == {"long", "short"}  # the term stands behind the first 24,000 characters of the long one
+    joined = spark.createDataFrame([(d, "\n".join(b for _, e, b in rows if e == d)) for d in ("long", "short", "other")], "doc_id string, body string")
+    assert got == pytest.approx({r["doc_id"]: r["score"] for r in index.best_scores(index.tokenized(joined, F.col("body"), "doc_id"), q, 8, key="doc_id").collect()})
+
+
 LISTS = "qid string, list_id string, rank int, chunk_id string, doc_id string, score double, weight double"
 
 
