@@ -30,6 +30,11 @@ def same_place(anchors: DataFrame, chunks: DataFrame, place: str) -> DataFrame:
     return left.join(right, ["doc_id", place]).filter("anchor_id <> chunk_id").select("anchor_id", "chunk_id")
 
 
+def members(chunks: DataFrame, place: str) -> DataFrame:
+    """(doc_id, place, chunk_id): all chunks of each non-empty ``place``; same_place gives the pairs, which grow with their square."""
+    return chunks.filter(F.col(place).isNotNull() & (F.col(place).cast("string") != "")).select("doc_id", place, "chunk_id").distinct()
+
+
 def nearest_before(lines: DataFrame, partition: list[str], order: str, is_source: Column, value: Column, reach: int, name: str) -> DataFrame:
     """Adds the value of the nearest of the ``reach`` rows before for which ``is_source`` holds (an as-of lookup)."""
     frame = Window.partitionBy(*partition).orderBy(order).rowsBetween(-reach, -1)

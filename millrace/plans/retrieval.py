@@ -226,6 +226,22 @@ def j_same_clause(spark, base):
     return lookup.same_place(chunks(spark, base), chunks(spark, base), "clause_id")
 
 
+@query("j_neighbours_all", f"with {SEQ} select a.chunk_id as anchor_id, b.chunk_id, b.seq - a.seq as distance from s a join s b on a.doc_id = b.doc_id and b.seq between a.seq - 1 and a.seq + 2")
+def j_neighbours_all(spark, base):
+    every = lookup.with_sequence(chunks(spark, base))
+    return lookup.neighbours(every, every, 1, 2)
+
+
+@query("j_page_members", "select distinct doc_id, page, chunk_id from chunks where page is not null")
+def j_page_members(spark, base):
+    return lookup.members(chunks(spark, base), "page")
+
+
+@query("j_section_members", "select distinct doc_id, section, chunk_id from chunks where section <> ''")
+def j_section_members(spark, base):
+    return lookup.members(chunks(spark, base), "section")
+
+
 @query("j_documents_of_hits", f"with {LISTS}, f as (select qid, doc_id, sum(1.0 / (60 + rank)) as score from l group by all) select * from (select qid, doc_id, round(score, 8) as score, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from f) where rank <= 3")
 def j_documents_of_hits(spark, base):
     return lookup.documents_of_hits(claim_lists(spark, base), 3).select("qid", "doc_id", F.round("score", 8).alias("score"), "rank")

@@ -24,3 +24,12 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, str(SMALL)).count() >= 0
+
+
+def test_every_chunk_is_an_anchor(spark, con):
+    chunks = con.sql("select count(distinct chunk_id) from chunks").fetchall()[0][0]
+    rows = QUERIES["j_neighbours_all"](spark, str(SMALL)).toPandas()
+    assert rows[rows.distance == 0].anchor_id.nunique() == chunks
+    for place in ("page", "section"):
+        placed = con.sql(f"select count(distinct chunk_id) from chunks where {place} is not null and {place}::varchar <> ''").fetchall()[0][0]
+        assert QUERIES[f"j_{place}_members"](spark, str(SMALL)).select("chunk_id").distinct().count() == placed > 0
