@@ -14,7 +14,7 @@ from millrace.llm.markup import clean_documents
 from millrace.llm.near_copies import near_copies
 from millrace.llm.one_form import alike_pairs
 from millrace.llm.packing import pack_documents
-from millrace.llm.scanned_pages import repair_pages
+from millrace.llm.scanned_pages import repair_documents, repair_pages
 from millrace.llm.splitting import needs, split_tables, split_texts
 from millrace.sources.tables import table
 
@@ -127,7 +127,9 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 @query("p4_repaired")
 def p4_repaired(spark: SparkSession, base: str) -> DataFrame:
-    return _repaired(spark, base).select("doc_id", "page", F.size("found").alias("n_found"), F.md5("clean").alias("clean_md5"))
+    pages = _repaired(spark, base).select(F.lit("page_texts").alias("item_table"), "doc_id", "page", F.size("found").alias("n_found"), F.md5("clean").alias("clean_md5"))
+    documents = repair_documents(table(spark, base, "raw_documents", "doc_id", "title", "raw_text"))
+    return pages.unionByName(documents.select(F.lit("raw_documents").alias("item_table"), "doc_id", F.lit(None).cast("int").alias("page"), "n_found", F.md5("clean").alias("clean_md5")))
 
 
 def _abuse(spark: SparkSession, base: str) -> DataFrame:

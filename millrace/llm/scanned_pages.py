@@ -347,7 +347,7 @@ def repair_pages(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame
 
 
 def repair_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, clean) of documents whose raw_text holds pages joined by form feeds, pages repaired on their own and joined again."""
+    """(doc_id, n_found, clean) of documents whose raw_text holds pages joined by form feeds, pages repaired on their own and joined again."""
     pages = documents.filter("raw_text is not null").select("doc_id", "title", F.posexplode(F.split("raw_text", "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
     fixed = repair_pages(pages, documents.select("doc_id", "title"))
-    return fixed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "clean"))), lambda p: p["clean"]), "\n").alias("clean"))
+    return fixed.groupBy("doc_id").agg(F.sum(F.size("found")).cast("int").alias("n_found"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "clean"))), lambda p: p["clean"]), "\n").alias("clean"))

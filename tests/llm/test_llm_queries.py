@@ -14,3 +14,9 @@ def test_query(spark, name):
         check(spark, LLM_QUERIES[name], LLM_SQL[name], database())
     else:
         assert LLM_QUERIES[name](spark, str(SMALL)).count() >= 0
+
+
+def test_raw_documents_are_repaired(spark):
+    got = LLM_QUERIES["p4_repaired"](spark, str(SMALL)).filter("item_table = 'raw_documents'").toPandas()
+    want = database().sql("select count(distinct doc_id) from raw_documents where raw_text is not null").fetchall()[0][0]
+    assert got.doc_id.nunique() == len(got) == want > 0 and (got.n_found > 0).any()
