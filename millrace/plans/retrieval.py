@@ -80,6 +80,21 @@ def x_field_search(spark, base):
     return found.select("qid", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
+def field_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Each chunk once with a text column for each component of the field-aware search, named like it."""
+    extra = [F.coalesce(F.col("metadata")[key], F.lit("")).alias(name) for name, key in (("caption", "caption"), ("structured", "extra_index_fields"))]
+    lists = [F.coalesce(F.array_join(c, " "), F.lit("")).alias(c) for c in ("tables", "numbers", "dates")]
+    rows = table(spark, base, "chunks").select("chunk_id", "doc_id", "text", F.coalesce("section", F.lit("")).alias("section"), F.coalesce("clause_id", F.lit("")).alias("clause"), *lists, *extra).distinct()
+    rows = rows.join(table(spark, base, "raw_documents", "doc_id", "title"), "doc_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+    return rows.withColumn("base", F.concat_ws(" ", "title", "section", "clause", "text", "tables", "numbers", "dates", "structured"))
+
+
+@query("x_field_search_all")
+def x_field_search_all(spark, base):
+    found = index.field_search(field_chunks(spark, base), question_queries(spark, base), {f: f for f in index.FIELD_WEIGHTS}, 5)
+    return found.select("qid", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
 DOCUMENTS = """select doc_id, left(string_agg(body, chr(10) order by seq), 24000) as body from (
       select doc_id, body, row_number() over (partition by doc_id order by chunk_id) - 1 as seq from (select distinct chunk_id, doc_id, coalesce(section, '') || ' ' || text as body from chunks)) group by doc_id"""
 

@@ -33,3 +33,12 @@ def test_every_chunk_is_an_anchor(spark, con):
     for place in ("page", "section"):
         placed = con.sql(f"select count(distinct chunk_id) from chunks where {place} is not null and {place}::varchar <> ''").fetchall()[0][0]
         assert QUERIES[f"j_{place}_members"](spark, str(SMALL)).select("chunk_id").distinct().count() == placed > 0
+
+
+def test_field_search_has_every_component(spark):
+    from millrace.operators.index import FIELD_WEIGHTS
+    from millrace.plans.retrieval import field_chunks
+
+    got = field_chunks(spark, str(SMALL)).toPandas()
+    assert set(FIELD_WEIGHTS) <= set(got.columns) and got.chunk_id.is_unique
+    assert all((got[c] != "").any() for c in ("title", "numbers", "dates", "tables"))
