@@ -358,7 +358,7 @@ def e_pending(spark, base):
 @query("n_units", "select base_unit, count(*) as n_metrics from metric_units group by base_unit")
 def n_units(spark, base):
     known = table(spark, base, "metric_units")
-    aliases = spark.createDataFrame(quantities.unit_aliases(), "a string, base_unit string, f double, o double").select("base_unit").distinct()
+    aliases = spark.createDataFrame(quantities.unit_aliases(), "a string, base_unit string, f double, s double, o double").select("base_unit").distinct()
     return known.join(aliases, "base_unit", "left_semi").groupBy("base_unit").agg(F.count("*").alias("n_metrics"))
 
 

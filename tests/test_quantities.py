@@ -13,13 +13,15 @@ CASES = [
     ("毛利率", "5.06％", "未标明", None, 0.0506), ("毛利率", "百分之12.5", None, None, 0.125), ("毛利率", "36.1", None, "X2020年毛利率为百分之36.1，A", 0.361),
     ("毛利率", "68.4", "个基点", None, 0.00684), ("毛利率", "0.5", "成", None, 0.05), ("毛利率", "2.5", None, "毛利率（‰） 2020年 2.5", 0.0025),
     ("面积", "3", "亩", None, 2000.0), ("面积", "2.5万", "平方米", None, 25000.0), ("面积", "1", "km²", None, 1e6), ("期限", "36", "小时", None, 1.5), ("长度", "500", "m", None, 0.5),
+    ("面积", "2万", "公顷", None, 2e8), ("容量", "3万", "兆瓦", None, 3e7), ("面积", "2万公顷", None, None, 2e8), ("面积", "三点五亩", None, None, 3.5 * 2000 / 3), ("保费", "9.9万", "万元", None, 99000.0),
+    ("面积", "三点五万", "亩", None, 35000 * 2000 / 3), ("面积", "5英亩", None, None, None), ("面积", "5", "英亩", None, None), ("面积", "5", "英亩", "单位：亩 5", 5 * 2000 / 3),
     ("保费", None, "元", None, None), ("保费", "", "元", None, None), ("保费", "不详", None, None, None), ("没有的指标", "5", "元", None, None), ("保费", "5平方米", None, None, None),
 ]
 
 
 @pytest.fixture(scope="module")
 def metrics(spark):
-    return spark.createDataFrame([("保费", "元"), ("毛利率", "1"), ("面积", "平方米"), ("期限", "日"), ("长度", "公里")], "metric string, base_unit string")
+    return spark.createDataFrame([("保费", "元"), ("毛利率", "1"), ("面积", "平方米"), ("期限", "日"), ("长度", "公里"), ("容量", "千瓦")], "metric string, base_unit string")
 
 
 def test_values(spark, metrics):
