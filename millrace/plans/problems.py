@@ -61,11 +61,11 @@ NORMALIZED = rf"""
     f2 as (select *, nullif(regexp_extract(clean, '(百分之|千分之|万分之)', 1), '') as part, regexp_replace(clean, '百分之|千分之|万分之', '', 'g') as plain from f1),
     f3 as (select *, nullif(regexp_extract(plain, '{_NUMBER}'), '') as digits, nullif(regexp_extract(plain, '{_CHINESE}'), '') as spoken from f2),
     f4 as (select *, case when regexp_matches(plain, '^[^0-9]*-|\(\s*-?(?:[0-9]|[零一二三四五六七八九十百千万亿])[^()]*\)') then -1.0 else 1.0 end * case when digits is not null then try_cast(regexp_replace(digits, '[, ]', '', 'g') as double) when spoken is not null then {_spoken('spoken')} end as v,
-      coalesce(part, nullif({_key(f"regexp_replace(case when digits is not null then regexp_replace(plain, '^[^0-9]*{_NUMBER}', '') else regexp_replace(plain, '^[^零一二三四五六七八九十百千万亿]*{_CHINESE}', '') end, '[()]', '', 'g')")}, ''), case when digits is not null then nullif({_key(r"regexp_replace(regexp_extract(plain, '^([^0-9]*)', 1), '[-+(\s]', '', 'g')")}, '') end) as written,
+      coalesce(part, nullif({_key(rf"regexp_replace(case when digits is not null then regexp_replace(plain, '^[^0-9]*{_NUMBER}', '') else regexp_replace(plain, '^[^零一二三四五六七八九十百千万亿]*{_CHINESE}', '') end, '[()]', '', 'g')")}, ''), case when digits is not null then nullif({_key(r"regexp_replace(regexp_extract(plain, '^([^0-9]*)', 1), '[-+(\s]', '', 'g')")}, '') end) as written,
       case when {_key('unit')} not in ('', '未标明', '-', '--', '无', '不详') then {_key('unit')} end as field, {_half('context')} as ct, trim({_half('raw_value')}) as num from f3),
     f5 as (select *, case when contains(ct, num) then split_part(ct, num, -1) end as tail from f4),
-    f6 as (select *, coalesce(nullif({_key(f"regexp_extract(ct, '单位\s*:\s*{_UNIT}', 1)")}, ''), nullif({_key(f"regexp_extract(split_part(ct, metric, -1), '^\s*\({_UNIT}\)', 1)")}, ''), nullif({_key(f"regexp_extract(tail, '^\s*\({_UNIT}\)', 1)")}, ''),
-      nullif({_key("regexp_extract(split_part(ct, num, 1), '(百分之|千分之|万分之)$', 1)")}, ''), nullif({_key(f"regexp_extract(tail, '^\s*{_UNIT}(?:[,。;\s]|$)', 1)")}, '')) as named, case when regexp_matches(written, '^(?:百万|千万|十万|十亿|百|千|万|亿)$') then written end as ws from f5),
+    f6 as (select *, coalesce(nullif({_key(rf"regexp_extract(ct, '单位\s*:\s*{_UNIT}', 1)")}, ''), nullif({_key(rf"regexp_extract(split_part(ct, metric, -1), '^\s*\({_UNIT}\)', 1)")}, ''), nullif({_key(rf"regexp_extract(tail, '^\s*\({_UNIT}\)', 1)")}, ''),
+      nullif({_key(r"regexp_extract(split_part(ct, num, 1), '(百分之|千分之|万分之)$', 1)")}, ''), nullif({_key(rf"regexp_extract(tail, '^\s*{_UNIT}(?:[,。;\s]|$)', 1)")}, '')) as named, case when regexp_matches(written, '^(?:百万|千万|十万|十亿|百|千|万|亿)$') then written end as ws from f5),
     f7 as (select f6.*, x.f as xf, x.times as xb, y.f as yf, y.times as yb, z.f as zf, z.times as zb, s.times as own from f6 left join aliases x on x.alias = written and ws is null and x.base = base_unit left join aliases y on y.alias = field and y.base = base_unit left join aliases z on z.alias = named and z.base = base_unit left join scales s on s.scale = ws),
     f8 as (select *, coalesce(written is not null and ws is null and xf is null, false) or (field is not null and coalesce(xf, yf, zf) is null) as unknown from f7),
     normalized as (select fact_id, metric, case when base_unit is not null and not unknown then v * (coalesce(xf, yf, zf, 1.0) / coalesce(xb, yb, zb, 1.0)) * coalesce(own, xb, yb, zb, 1.0) end as base_value, case when not unknown then case when xf is not null then 'text' when yf is not null then 'field' when zf is not null then 'context' else 'default' end end as unit_source from f8)
