@@ -1,11 +1,16 @@
 """Passages of held-out tests inside training documents.
 
 Size-partitioned MinHash containment search. A partition by size makes containment of a short item in a long document
-comparable by MinHash, because both sides of a comparison then have about one size; here it is taken to its end: every text
-is the family of its windows of ``run`` characters that count, all of one size, each a set of ``run - shingle + 1`` shingles.
-The MinHash of a window is the smallest hash of its shingles. Windows with the same content have the same MinHash, so a
-document that contains a window of an item is always found; neighbouring windows mostly share it, so a text has few distinct
-ones. The documents that share a MinHash with an item are then verified by exact containment of a window.
+comparable by MinHash, because both sides of a comparison then have about one size. A leak may be as short as ``run`` characters,
+whatever the sizes of item and document, so the partition is taken to its end: every text is the family of its windows of ``run``
+characters that count, all of one size, each a set of ``run - shingle + 1`` shingles. The signature of a text is the set of the
+MinHashes of its windows. Windows with the same content have the same MinHash, so a document that contains a window of an item
+shares an entry with its signature and is always found; neighbouring windows mostly share theirs, so a signature is short. Texts
+that share an entry are then verified by exact containment of a window.
+
+Items are few against documents: while their signatures stay below a stated number of entries, the workers hold them, and a
+document is searched and verified where it is read, without a shuffle. Beyond that signatures are joined, and only documents
+that share an entry are sent on.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from millrace.llm.arrays import codepoints, owners, reading, rolling
 
 RUN = 40
 SHINGLE = 8
+MOST_SHARED_CHARACTERS = 20_000_000  # of items; above it signatures are joined
 
 
 def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -64,24 +70,48 @@ def windows(texts: DataFrame, key: str, run: int, shingle: int) -> DataFrame:
     return texts.filter(F.length("text") >= run).select(key, "text").mapInArrow(_minhash_rows(key, run, shingle), f"{key} {kind}, minhash long")
 
 
+class Items:
+    """Signatures and runs of the items, to search documents for."""
+
+    def __init__(self, ids: list, texts: list[str], run: int, shingle: int):
+        self.ids, self.texts, self.run, self.shingle = ids, [read_out(t) for t in texts], run, shingle
+        self.minima = np.unique(minhashes(texts, run, shingle)[1])
+        points, offsets = codepoints(self.texts)
+        at, owner = owners(offsets, run)
+        hashes = rolling(points, run)[at]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[order]
+
+    def search(self, texts: list[str | None]) -> tuple[list[int], list]:
+        """(text number, item id) of every leak in a batch of texts."""
+        numbers, found = [], []
+        text, low = minhashes(texts, self.run, self.shingle)
+        for number in np.unique(text[np.isin(low, self.minima)]).tolist():
+            doc = read_out(texts[number])
+            own = np.unique(rolling(codepoints([doc])[0], self.run))
+            begin, end = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
+            met = np.flatnonzero(begin < end)
+            for item in sorted({int(x) for i in met for x in self.owner[begin[i] : end[i]]}):
+                if contains(doc, self.texts[item], self.run):
+                    numbers.append(number)
+                    found.append(self.ids[item])
+        return numbers, found
+
+
+def _search(shared):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, found = shared.value.search(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(numbers, pa.int32())), pa.array(found, pa.int64())], ["doc_id", "item_id"])
+
+    return search
+
+
 def _verify(run: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, items = batch.column("doc_text").to_pylist(), batch.column("item_text").to_pylist()
-            found = []
-            known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-            def hashes(text: str) -> np.ndarray:
-                if text not in known:
-                    if len(known) > 2000:
-                        known.clear()
-                    known[text] = rolling(reading(*codepoints([text]))[0], run)
-                return known[text]
-
-            for doc, item in zip(docs, items):
-                shared = np.intersect1d(hashes(doc), hashes(item))
-                found.append(bool(len(shared)) and exact(doc, item, run))
-            yield batch.filter(pa.array(found)).select(["doc_id", "item_id"])
+            yield batch.filter(pa.array([exact(doc, item, run) for doc, item in zip(docs, items)], pa.bool_())).select(["doc_id", "item_id"])
 
     return verify
 
@@ -91,21 +121,28 @@ def read_out(text: str) -> str:
     return reading(*codepoints([text]))[0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def contains(doc: str, item: str, run: int) -> bool:
+    return any(item[i : i + run] in doc for i in range(len(item) - run + 1))
+
+
 def exact(doc: str, item: str, run: int) -> bool:
     """Whether both texts share ``run`` characters that count in a row."""
-    doc, item = read_out(doc), read_out(item)
-    return any(item[i : i + run] in doc for i in range(len(item) - run + 1))
+    return contains(read_out(doc), read_out(item), run)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, shingle: int = SHINGLE, most_shared: int = MOST_SHARED_CHARACTERS) -> DataFrame:
     """(doc_id, item_id) where document and item share a run of at least ``run`` letters, digits and Han characters.
 
     Null texts, and texts with fewer than ``run`` such characters, match nothing. Repeated rows give one pair. Other columns
-    are ignored. Both sides go through the same plan; Spark broadcasts the items' MinHashes while they are below its size limit
-    and sorts both sides beyond it, so neither side has to be small.
+    are ignored. Up to ``most_shared`` characters the items go to the workers; beyond it both sides' signatures are joined.
     """
-    docs = documents.filter("text is not null").select("doc_id", "text")
-    tests = items.filter("text is not null").select("item_id", "text")
+    docs = documents.filter(F.length("text") >= run).select("doc_id", "text")
+    tests = items.filter((F.length("text") >= run) & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    if (tests.agg(F.sum(F.length("text"))).first()[0] or 0) <= most_shared:
+        rows = [(row["item_id"], row["text"]) for row in tests.toLocalIterator()]
+        shared = documents.sparkSession.sparkContext.broadcast(Items([i for i, _ in rows], [t for _, t in rows], run, shingle))
+        return docs.mapInArrow(_search(shared), "doc_id long, item_id long").distinct()
     hits = windows(docs, "doc_id", run, shingle).join(windows(tests, "item_id", run, shingle).distinct(), "minhash").select("doc_id", "item_id").distinct()
-    pairs = docs.withColumnRenamed("text", "doc_text").join(hits, "doc_id").join(tests.withColumnRenamed("text", "item_text"), "item_id")
+    met = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = met.withColumnRenamed("text", "doc_text").join(hits, "doc_id").join(tests.withColumnRenamed("text", "item_text"), "item_id")
     return pairs.select("doc_id", "item_id", "doc_text", "item_text").mapInArrow(_verify(run), "doc_id long, item_id long").distinct()
