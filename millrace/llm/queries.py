@@ -79,6 +79,28 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return chunk_terms(spark, base).filter((F.col("occurrences") >= 3) & rare).select(F.col("key").alias("chunk_id"), "term")
 
 
+TERM_GRAPH = """
+    c as (select chunk_id, any_value(concat_ws(chr(10), section, text)) as text from chunks group by chunk_id),
+    s as (select count(*) as n, avg(length(text)) as mean from c),
+    hit as materialized (select chunk_id, term, text from c, glossary_terms where contains(text, term)),
+    o as materialized (select chunk_id, term, list_filter(range(1, length(text) - length(term) + 2), lambda i: substring(text, i, length(term)) = term) as places, length(term) as l from hit),
+    parts as (select chunk_id, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9.,%]*|[㐀-鿿]{1,2}|(?s:.)') as p from (select distinct chunk_id, text from hit)),
+    placed as (select chunk_id, unnest(p) as part, generate_subscripts(p, 1) as i from parts),
+    starts as (select chunk_id, part, i, sum(length(part)) over (partition by chunk_id order by i) - length(part) + 1 as b from placed),
+    w as materialized (select chunk_id, part, b, b + length(part) as e, row_number() over (partition by chunk_id order by i) as k from starts where regexp_matches(part, '^[A-Za-z0-9㐀-鿿]')),
+    each as (select chunk_id, term, unnest(places) as place, l from o),
+    ranked as (select chunk_id, term, part, e <= place as before, row_number() over (partition by chunk_id, term, place, e <= place order by case when e <= place then -k else k end) as r from each join w using (chunk_id) where e <= place or b >= place + l),
+    degrees as (select chunk_id, term, count(distinct part) filter (part <> term) as degree from ranked where r <= 4 group by all),
+    df as (select term, count(*) as df from hit group by term)
+"""
+
+
+@query("p1_scores", f"""with {TERM_GRAPH} select chunk_id, term, len(places) as occurrences, coalesce(degree, 0) as degree, df as records_with_term, round(coalesce(degree, 0) / (0.997 + 0.003 * length(text) / mean) * ln((n + 1) / df), 4) as score
+    from o join hit using (chunk_id, term) left join degrees using (chunk_id, term) join df using (term), s""")
+def p1_scores(spark: SparkSession, base: str) -> DataFrame:
+    return chunk_terms(spark, base).select(F.col("key").alias("chunk_id"), "term", "occurrences", "degree", "records_with_term", F.round("score", 4).alias("score"))
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     options = F.concat_ws("\x1e", F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("\x1f"), F.coalesce(e["value"], F.lit("")))))

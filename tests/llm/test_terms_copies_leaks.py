@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import near_copies as nc
 from millrace.llm.arrays import codepoints, rolling
-from millrace.llm.distinctive_terms import term_scores
+from millrace.llm.distinctive_terms import graph, term_scores, words_of
 from millrace.llm.leakage import exact, leaked_items, window_minima
 
 RECORDS = "record_table string, key string, text string"
@@ -28,6 +28,19 @@ def test_term_scores(spark):
     assert term_scores(df.limit(0), terms).count() == 0 and term_scores(df, terms.limit(0)).count() == 0
 
 
+def test_neighbours_are_words_of_the_whole_record(spark):
+    # The phase of the word pairs comes from the record, so one neighbour stays one at every occurrence.
+    assert graph("甲乙灯塔丙丁，甲乙灯塔丙丁", [(0, 2, 4), (0, 9, 11)], 1) == {0: (2, {"甲乙", "丙丁"})}
+    rng = random.Random(5)
+    text = noise(rng, 200) + "灯塔" + noise(rng, 50) + "，灯塔" + noise(rng, 30)
+    words, starts, ends = words_of(text)
+    want = set()
+    for at in (200, 253):
+        want |= set([w for w, e in zip(words, ends) if e <= at][-4:]) | set([w for w, b in zip(words, starts) if b >= at + 2][:4])
+    row = term_scores(spark.createDataFrame([("a", text)], "key string, text string"), spark.createDataFrame([("灯塔",)], "term string")).first()
+    assert row["degree"] == len(want - {"灯塔"}) and row["occurrences"] == 2
+
+
 def test_rolling_hash_depends_on_content_only():
     points, _ = codepoints(["xabcdeyabcde"])
     for width in (3, 5):
@@ -116,5 +129,6 @@ def test_leaks(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1))
     i = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     assert sorted(map(tuple, leaked_items(d, i).collect())) == [(1, 10), (2, 10), (6, 10)]
+    assert sorted(map(tuple, leaked_items(d, i, most_shared=0).collect())) == [(1, 10), (2, 10), (6, 10)]  # the joined way
     assert exact("ＡＢＣ" * 20, "abc" * 20, 40) and not exact("a" * 39, "a" * 60, 40)
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0
