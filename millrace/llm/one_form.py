@@ -10,6 +10,7 @@ by a letter that has no Latin look-alike.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -121,22 +122,33 @@ def consistent_forms(records: DataFrame) -> DataFrame:
     return records.select("key", "text").mapInArrow(_forms_of_batches, f"key {kind}, text string, form string")
 
 
+def _hashed_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def md5(text: str) -> str:
+        return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([md5(t) for t in texts], pa.string()), pa.array([md5(one_form(t)) for t in texts], pa.string())], ["record_table", "key", "stored", "form"])
+
+
 def alike_pairs(records: DataFrame) -> DataFrame:
     """(record_table, key_a, key_b), key_a < key_b, of records of one table that differ in stored characters but have one form.
 
-    ``records`` has record_table, key, text. Records are grouped by a hash of table and form; exact copies of a stored text
-    form a class. Classes of one form are paired by their smallest keys, every other member of a class with the class of the
-    smallest key that is stored otherwise, so copies cost one row each. Null and empty texts and null keys match nothing.
+    ``records`` has record_table, key (as strings), text. Only hashes of the stored text and of its form leave the pass over the
+    texts. Exact copies of a stored text form a class. Classes of one form are paired by their smallest keys, every other member of
+    a class with the class of the smallest key that is stored otherwise, so copies cost one row each. Null and empty texts, null
+    keys and null tables match nothing; repeated rows count once.
     """
-    tagged = records.filter("key is not null and text <> ''").select(F.to_json(F.struct("record_table", "key")).alias("key"), "text")
-    shaped = consistent_forms(tagged).select(F.from_json("key", "record_table string, key string").alias("k"), F.md5("text").alias("stored"), F.md5("form").alias("form"))
-    members = shaped.select("k.record_table", "k.key", "stored", "form").distinct()
-    classes = members.groupBy("record_table", "form", "stored").agg(F.min("key").alias("first_key"))
-    several = classes.groupBy("record_table", "form").agg(F.count("*").alias("n"), F.min(F.struct("first_key", "stored")).alias("one")).filter("n > 1")
-    kept = classes.join(several.select("record_table", "form", "one"), ["record_table", "form"])
+    told = records.filter("key is not null and record_table is not null and text <> ''").select(F.col("record_table").cast("string"), F.col("key").cast("string"), "text")
+    # No column can be null, and every use takes ``m``, so all have one plan and the texts are read once.
+    told = told.mapInArrow(_hashed_forms, "record_table string not null, key string not null, stored string not null, form string not null")
+    members = told.groupBy("record_table", "form", "stored", "key").agg(F.count("*").alias("m"))
+    classes = members.groupBy("record_table", "form", "stored").agg(F.min(F.struct("key", "m")).alias("c"))
+    several = classes.groupBy("record_table", "form").agg(F.count("c").alias("n"), F.min(F.struct(F.col("c.key").alias("key"), "stored")).alias("one")).filter("n > 1")
+    kept = classes.join(several.select("record_table", "form", "one"), ["record_table", "form"]).select("record_table", "form", "stored", F.col("c.key").alias("first_key"), "one")
     pairs = kept.alias("a").join(kept.alias("b"), ["record_table", "form"]).filter("a.first_key < b.first_key").select("record_table", F.col("a.first_key").alias("key_a"), F.col("b.first_key").alias("key_b"))
     second = kept.filter("stored <> one.stored").groupBy("record_table", "form").agg(F.min("first_key").alias("second"))
-    others = members.join(kept.join(second, ["record_table", "form"]), ["record_table", "form", "stored"]).filter("key > first_key")
-    partner = F.when(F.col("stored") == F.col("one.stored"), F.col("second")).otherwise(F.col("one.first_key"))
+    others = members.filter("m > 0").join(kept.join(second, ["record_table", "form"]), ["record_table", "form", "stored"]).filter("key > first_key")
+    partner = F.when(F.col("stored") == F.col("one.stored"), F.col("second")).otherwise(F.col("one.key"))
     rest = others.select("record_table", F.least("key", partner).alias("key_a"), F.greatest("key", partner).alias("key_b"))
     return pairs.unionByName(rest).distinct()

@@ -12,7 +12,7 @@ from millrace.llm.distinctive_terms import term_scores
 from millrace.llm.leakage import leaked_items
 from millrace.llm.markup import clean_documents
 from millrace.llm.near_copies import near_copies
-from millrace.llm.one_form import alike_pairs
+from millrace.llm.one_form import alike_pairs, consistent_forms
 from millrace.llm.packing import pack_documents
 from millrace.llm.scanned_pages import repair_documents, repair_pages
 from millrace.llm.splitting import needs, split_tables, split_texts
@@ -101,12 +101,22 @@ def p1_scores(spark: SparkSession, base: str) -> DataFrame:
     return chunk_terms(spark, base).select(F.col("key").alias("chunk_id"), "term", "occurrences", "degree", "records_with_term", F.round("score", 4).alias("score"))
 
 
-@query("p5_found")
-def p5_found(spark: SparkSession, base: str) -> DataFrame:
+def _printed(spark: SparkSession, base: str) -> DataFrame:
     options = F.concat_ws("\x1e", F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("\x1f"), F.coalesce(e["value"], F.lit("")))))
     questions = table(spark, base, "questions").select(F.lit("questions").alias("record_table"), F.col("qid").alias("key"), F.concat_ws("\x1d", "question", options).alias("text"))
     documents = table(spark, base, "raw_documents").select(F.lit("raw_documents").alias("record_table"), F.col("doc_id").alias("key"), F.col("raw_text").alias("text"))
-    return alike_pairs(questions.unionByName(documents))
+    return questions.unionByName(documents)
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return alike_pairs(_printed(spark, base))
+
+
+@query("p5_forms")
+def p5_forms(spark: SparkSession, base: str) -> DataFrame:
+    tagged = _printed(spark, base).select(F.concat_ws("/", "record_table", "key").alias("key"), "text")
+    return consistent_forms(tagged).select("key", (F.col("form") != F.col("text")).alias("changed"), F.md5("form").alias("form_md5"))
 
 
 def _pieces(spark: SparkSession, base: str) -> dict[str, DataFrame]:
