@@ -2,9 +2,13 @@
 
 HTML is parsed to a tree. Composite text density tells content from boilerplate: each node's characters per tag, adjusted by
 its links, is its density; the node whose children's densities have the largest sum is the content, and the smallest density
-on the path from the body to it is the threshold below which other blocks are dropped (unless they are headings, lists, tables,
-code or the text itself). What is kept, of HTML and of the other kinds alike, is written in one plain form: ``# `` before
-headings, ``- `` or ``1. `` before list items, `` | `` between cells, code and formulas as they are.
+on the path from the body to it is the threshold. Below every node that reaches the threshold the subtree of the largest sum is
+selected too; the rest is dropped, but for text, headings, paragraphs, tables, code and lists that stand on the path itself. What
+is kept, of HTML and of the other kinds alike, is written in one plain form: ``# `` before headings, ``- `` or ``1. `` before
+list items, `` | `` between cells, code and formulas as they are.
+
+All walks over the tree are loops over its nodes in the order they were opened, so neither depth nor breadth costs more than
+their number.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -56,11 +61,21 @@ STRUCK = re.compile(r"~~(?=\S)([^\n]+?)(?<=\S)~~")
 EMPHASIS = re.compile(r"(?<![\w*])\*(?![\s*])([^*\n]+?)(?<![\s*])\*(?![\w*])|(?<![\w_])_(?![\s_])([^_\n]+?)(?<![\s_])_(?![\w_])")
 
 
+STRUCTURE = ("p", "ul", "ol", "dl", "li", "blockquote", "pre", "table", "figure")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+UNSEEN = ("script", "style", "head")
+
+
 class Node:
+    __slots__ = ("name", "parent", "children", "linked", "items", "number", "chars", "link_chars", "tags", "link_tags", "density", "sum", "best", "chosen", "holds")
+
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []  # children are nodes and strings
+        self.linked = name == "a" or parent is not None and parent.linked
+        self.items = self.number = 0
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.best, self.chosen, self.holds = self, False, False
 
 
 class Tree(HTMLParser):
@@ -69,96 +84,116 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("body", None)
+        self.nodes = [self.root]  # in the order they open: a node stands behind its ancestors
+        self.open = Counter()
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "tr", "td", "th") and self.at.name == tag:
-            self.at = self.at.parent
+    def _add(self, tag: str) -> Node:
         node = Node(tag, self.at)
+        if tag == "li":
+            self.at.items += 1
+            node.number = self.at.items
         self.at.children.append(node)
+        self.nodes.append(node)
+        return node
+
+    def _close(self) -> None:
+        self.open[self.at.name] -= 1
+        self.at = self.at.parent
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "li", "tr", "td", "th") and self.at.name == tag:
+            self._close()
+        node = self._add(tag)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, self.at))
+        self._add(tag)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node and node.name != tag:
-            node = node.parent
-        if node and node.parent:
-            self.at = node.parent
+        if self.open[tag]:
+            while self.at.name != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
         self.at.children.append(data)
 
 
-def measure(node: Node, in_link: bool = False) -> None:
+def measure(nodes: list[Node]) -> None:
     """Characters, tags, and those within links, of each node."""
-    for child in node.children:
-        if isinstance(child, str):
-            size = len(child.strip())
-            node.chars += size
-            node.link_chars += size * in_link
-        elif child.name not in ("script", "style"):
-            measure(child, in_link or child.name == "a")
-            node.chars += child.chars
-            node.link_chars += child.link_chars
-            node.tags += child.tags + 1
-            node.link_tags += child.link_tags + (child.name == "a")
-
-
-def weigh(node: Node, body: Node) -> None:
-    """Composite text density of each node, and the sum of its children's."""
-    for child in node.children:
-        if isinstance(child, Node):
-            weigh(child, body)
-            node.sum += child.density
-    if node.chars:
-        other = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars / other * node.link_chars + body.link_chars / max(body.chars, 1) * node.chars + math.e)
-        adjusted = node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1)
-        node.density = node.chars / max(node.tags, 1) * math.log(max(adjusted, 1.0)) / math.log(max(base, 1.0001))
-
-
-def content_threshold(body: Node) -> float:
-    best, stack = body, [body]
-    while stack:
-        node = stack.pop()
-        stack += [c for c in node.children if isinstance(c, Node)]
-        if node.sum > best.sum:
-            best = node
-    low = best.density
-    while best.parent:
-        best = best.parent
-        low = min(low, best.density)
+    for node in reversed(nodes):
+        if node.name in UNSEEN:
+            node.chars = node.link_chars = node.tags = node.link_tags = 0
+            continue
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.chars += own
+        node.link_chars += own * node.linked
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.link_chars += node.link_chars
+            node.parent.tags += node.tags + 1
+            node.parent.link_tags += node.link_tags + (node.name == "a")
+
+
+def weigh(nodes: list[Node]) -> None:
+    """Composite text density of each node, the sum of its children's, and the node of the largest sum below it."""
+    body = nodes[0]
+    for node in reversed(nodes):
+        if node.chars:
+            other = max(node.chars - node.link_chars, 1)
+            base = math.log(node.chars / other * node.link_chars + body.link_chars / max(body.chars, 1) * node.chars + math.e)
+            adjusted = node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1)
+            # The base is at least e, or a few characters without links would outweigh any text.
+            node.density = node.chars / max(node.tags, 1) * math.log(max(adjusted, 1.0)) / math.log(max(base, math.e))
+        if node.best.sum <= node.sum:
+            node.best = node
+        if node.parent is not None:
+            node.parent.sum += node.density
+            if node.best.sum >= node.parent.best.sum and node.best is not node.parent.best:
+                node.parent.best = node.best
+
+
+def choose(nodes: list[Node]) -> float:
+    """Marks the subtrees of content, and the nodes above them; returns the threshold."""
+    node = nodes[0].best
+    low = node.density
+    while node.parent is not None:
+        node = node.parent
+        low = min(low, node.density)
+    nodes[0].best.chosen = True
+    for node in nodes:
+        if node.density >= low and node.chars:
+            node.best.chosen = True
+    for node in reversed(nodes):
+        if (node.chosen or node.holds) and node.parent is not None:
+            node.parent.holds = True
     return low
 
 
-STRUCTURE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "li", "table", "pre", "code", "blockquote", "tr", "td", "th"}
+def mostly_links(node: Node) -> bool:
+    return node.link_chars * 2 > node.chars
 
 
-def boilerplate(node: Node, threshold: float) -> bool:
-    """Blocks below the threshold that are mostly links, or navigation by name."""
-    if node.name in ("nav", "footer", "aside") and node.density < threshold:
+def dropped(node: Node, inside: bool, threshold: float) -> bool:
+    """Whether a node is left out: blocks outside the content, and within it blocks below the threshold that are mostly links."""
+    if node.name in UNSEEN or node.name == "img":
         return True
-    return node.name in BLOCKS - STRUCTURE | {"ul", "ol"} and node.density < threshold and node.link_chars * 2 > node.chars
-
-
-def render(node: Node, threshold: float, keep_space: bool = False) -> str:
-    if node.name in ("script", "style", "head") or node.name == "img":
-        return ""
-    if node.name == "br":
-        return "\n"
-    if node.name != "body" and boilerplate(node, threshold):
-        return ""
-    inner = "".join(c if isinstance(c, str) else render(c, threshold, keep_space or node.name == "pre") for c in node.children)
-    if node.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    if node.density < threshold and (node.name in ("nav", "footer", "aside") or node.name in ("div", "section", "header", "form", "ul", "ol") and mostly_links(node)):
+        return True
+    if inside or node.chosen or node.holds or node.name not in BLOCKS or node.name in (*HEADINGS, "pre", "table", "hr"):
+        return False
+    return node.name not in STRUCTURE or mostly_links(node)
+
+
+def written(node: Node, inner: str) -> str:
+    """A node in plain form around what it holds."""
+    if node.name in HEADINGS:
         return f"\n{'#' * int(node.name[1])} {inner.strip()}\n"
     if node.name == "li":
-        number = ""
-        if node.parent and node.parent.name == "ol":
-            number = f"{[c for c in node.parent.children if isinstance(c, Node) and c.name == 'li'].index(node) + 1}. "
-        return f"\n{number or '- '}{inner.strip()}"
+        number = f"{node.number}. " if node.parent is not None and node.parent.name == "ol" else "- "
+        return f"\n{number}{inner.strip()}"
     if node.name in ("td", "th"):
         return inner.strip() + " | "
     if node.name == "tr":
@@ -166,18 +201,43 @@ def render(node: Node, threshold: float, keep_space: bool = False) -> str:
     if node.name == "pre":
         return "\n" + inner.strip("\n") + "\n"
     if node.name in BLOCKS and node.name != "body":
-        return f"\n{inner.strip()}\n"
+        only = node.children[0] if len(node.children) == 1 else None
+        # A block that holds only a block is written like it: no copy for each of many nested blocks.
+        return inner if isinstance(only, Node) and inner[:1] == inner[-1:] == "\n" and only.name not in ("pre", "li", "tr") else f"\n{inner.strip()}\n"
     return inner
 
 
+def render(root: Node, threshold: float) -> str:
+    """The chosen subtrees in plain form. Each open node has its next child and what it holds so far."""
+    stack: list[list] = [[root, 0, [], root.chosen]]
+    while True:
+        frame = stack[-1]
+        node, at, parts, inside = frame
+        if at < len(node.children):
+            frame[1] += 1
+            child = node.children[at]
+            if isinstance(child, str):
+                parts.append(child)
+            elif child.name == "br":
+                parts.append("\n")
+            elif not dropped(child, inside or child.chosen, threshold):
+                stack.append([child, 0, [], inside or child.chosen or child.name in STRUCTURE])
+            continue
+        stack.pop()
+        text = written(node, parts[0] if len(parts) == 1 else "".join(parts))
+        if not stack:
+            return text
+        stack[-1][2].append(text)
+
+
 def clean_html(text: str) -> str:
     tree = Tree()
     # What looks like an element but isn't one (comparisons, titles) stays text.
     tree.feed("".join(html.escape(part, quote=False).replace("&amp;", "&") if not ELEMENT.fullmatch(part) else part for part in re.split(f"({ELEMENT.pattern})", text, flags=re.I)))
     tree.close()
-    measure(tree.root)
-    weigh(tree.root, tree.root)
-    return render(tree.root, content_threshold(tree.root))
+    measure(tree.nodes)
+    weigh(tree.nodes)
+    return render(tree.root, choose(tree.nodes))
 
 
 def clean_markup(text: str) -> tuple[str, list[str]]:

@@ -25,6 +25,8 @@ LEVELS = (
     ("sentence", re.compile(r"[。！？；!?;]+[”’」』）)\"]*|\.(?= )")),
     ("word", re.compile(r"[，,、：:]|\s+")),
 )
+WORD_LEVEL = 3
+CLOSERS = "”’」』）)\""
 PIECES = "key string, piece int, begin int, end int, cut string, hard boolean, text string"
 
 
@@ -37,11 +39,16 @@ def longest_stretch(text: str) -> int:
     return max(longest, len(text) - begin)
 
 
-def atoms(text: str, begin: int, end: int, size: int, level: int = 0) -> Iterator[tuple[int, int, str]]:
-    """(begin, end, level of its end) of parts of at most ``size`` characters that together are the text."""
+def atoms(text: str, begin: int, end: int, size: int, level: int = 0, deep: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, level of its end) of parts of at most ``size`` characters that together are the text.
+
+    The parts that no natural boundary could cut, which go down to words or characters, are added to ``deep``.
+    """
     if end - begin <= size:
         yield begin, end, ""
         return
+    if level == WORD_LEVEL and deep is not None:
+        deep.append((begin, end))
     if level == len(LEVELS):
         for at in range(begin, end, size):
             yield at, min(at + size, end), "character" if at + size < end else ""
@@ -50,24 +57,38 @@ def atoms(text: str, begin: int, end: int, size: int, level: int = 0) -> Iterato
     last = begin
     for match in separator.finditer(text, begin, end):
         if match.end() > last:
-            for a, b, cut in atoms(text, last, match.end(), size, level + 1):
+            for a, b, cut in atoms(text, last, match.end(), size, level + 1, deep):
                 yield a, b, cut or name
             last = match.end()
     if last < end:
-        yield from atoms(text, last, end, size, level + 1)
+        yield from atoms(text, last, end, size, level + 1, deep)
 
 
-def split_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP) -> list[tuple[int, int, str]]:
-    """(begin, end, level of the cut at its end) of each piece; a text within the limit is one piece."""
+def cut_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP) -> tuple[list[tuple[int, int, str]], bool]:
+    """(begin, end, level of the cut at its end) of each piece, and whether a stretch above the limit had to be cut.
+
+    A text within the limit is one piece. What had to be cut comes from the recursion: only parts that it brought down to words
+    can hold such a stretch. A closing quote behind a boundary belongs to the part before, but to the stretch after it.
+    """
     if len(text) <= limit:
-        return [(0, len(text), "")]
-    pieces, begin, last, cut = [], 0, 0, ""
-    for _, end, level in atoms(text, 0, len(text), limit - overlap):
+        return [(0, len(text), "")], False
+    pieces, begin, last, cut, deep = [], 0, 0, "", []
+    for _, end, level in atoms(text, 0, len(text), limit - overlap, 0, deep):
         if end - begin > limit:
             pieces.append((begin, last, cut))
             begin = last - overlap
         last, cut = end, level
-    return [*pieces, (begin, last, "")]
+    hard = False
+    for first, end in deep:
+        while first and text[first - 1] in CLOSERS:
+            first -= 1
+        hard = hard or longest_stretch(text[first:end]) > limit
+    return [*pieces, (begin, last, "")], hard
+
+
+def split_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP) -> list[tuple[int, int, str]]:
+    """(begin, end, level of the cut at its end) of each piece."""
+    return cut_text(text, limit, overlap)[0]
 
 
 def row_size(row: list | None) -> int:
@@ -117,8 +138,8 @@ def _text_pieces(limit: int, overlap: int):
         for batch in batches:
             out = []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                hard = longest_stretch(text) > limit
-                out += [(key, i, a, b, cut, hard, text[a:b]) for i, (a, b, cut) in enumerate(split_text(text, limit, overlap))]
+                pieces, hard = cut_text(text, limit, overlap)
+                out += [(key, i, a, b, cut, hard, text[a:b]) for i, (a, b, cut) in enumerate(pieces)]
             yield from _batches(out)
 
     return rows

@@ -2,10 +2,11 @@ import random
 
 import pytest
 
+from millrace.llm import markup
 from millrace.llm.markup import clean_documents, markup_of
 from millrace.llm.one_form import alike_pairs, one_form
 from millrace.llm.scanned_pages import repair_documents, repair_page, repair_pages
-from millrace.llm.splitting import longest_stretch, needs, row_size, split_rows, split_tables, split_text, split_texts
+from millrace.llm.splitting import cut_text, longest_stretch, needs, row_size, split_rows, split_tables, split_text, split_texts
 
 
 @pytest.mark.parametrize(
@@ -40,6 +41,13 @@ def test_split_text_round_trip():
     assert longest_stretch("a. b.c。" + "x" * 9) == 9
 
 
+def test_hard_cuts_come_from_the_recursion():
+    rng = random.Random(9)
+    for _ in range(400):
+        text = "".join(rng.choice(["甲乙", "丙，", "丁 戊", "己。", "庚”", "辛. ", "壬\n", "癸!?）"]) * rng.randrange(1, 9) if rng.random() < 0.3 else "子" * rng.randrange(1, 30) for _ in range(rng.randrange(1, 30)))
+        assert cut_text(text, 40, 5)[1] == (longest_stretch(text) > 40), text
+
+
 def test_split_rows():
     rows = [["甲" * 99] for _ in range(30)]
     pieces = split_rows(rows)
@@ -78,6 +86,20 @@ def test_links_around_an_article_are_dropped():
     assert "链接3" not in clean and "正文很长" in clean
 
 
+def test_the_subtree_of_content_is_selected():
+    part = "<p>" + "这是正文的一段话，写得很长很长，说明了很多事情。" * 6 + "</p>"
+    page = f"<h1>标题</h1><div>版权所有 某某公司 转载请注明</div><div><h2>第一节</h2>{part}{part}<ul><li>甲</li><li>乙</li></ul>{part}</div><div><a href='x'>链接一</a><a href='y'>链接二</a></div><div>页脚</div>"
+    clean = markup.clean_markup(page)[0]
+    assert "版权" not in clean and "链接" not in clean and "页脚" not in clean
+    assert clean.startswith("# 标题\n\n## 第一节") and clean.count("很多事情") == 18 and "- 甲\n- 乙" in clean
+
+
+def test_depth_and_breadth_cost_no_more_than_their_number():
+    for closing in ("</div>", "</span>"):
+        assert markup.clean_markup("<div>" * 100_000 + "正文" * 500 + closing * 100_000)[0] == "正文" * 500
+    assert markup.clean_markup("<ol>" + "<li>条</li>" * 20_000 + "</ol>")[0].endswith("\n20000. 条")
+
+
 def test_clean_documents(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "<b>x</b>" * 20_000)], "key string, text string")
     got = {r["key"]: r for r in clean_documents(df).collect()}
