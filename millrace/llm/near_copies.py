@@ -1,15 +1,19 @@
 """Records that are copies of each other but for small edits, at any number of records.
 
-Golay-code fuzzy hashing. Of each distinct text a few anchors are drawn: runs of ``anchor`` characters, by consistent weighted
-sampling with weights that fall with the run's frequency in the whole collection (every run is counted), so that boilerplate
-is rarely drawn and copies draw the same anchors. Each anchor goes with one 23-bit segment of the text's
-fingerprint. A bit of a segment is set where the smallest hash of the text's shingles in that bit's slot falls into one
-eighth, so copies differ in few bits. The segment is decoded by the binary Golay code: all codewords that are nearest to it
-or to a vector one bit away give an index, so two segments that differ in up to two bits share one. By the pigeonhole
-principle copies whose errors are spread over all segments still have some segment with at most two. Texts that share
-(anchor, segment, index) are candidates, verified by their exact similarity.
+Golay-code fuzzy hashing. Of each distinct text a few anchors are drawn: runs of ``ANCHOR`` characters (and of ``SHORT_ANCHOR``
+from a text below ``SHORT`` characters), by consistent weighted sampling with weights that fall with the run's frequency in the
+whole collection, so that boilerplate is rarely drawn and copies draw the same anchors. Candidates for anchors are the runs with
+the smallest hash among ``WINDOW`` neighbours; a stretch that two texts share has the same candidates in both, and only these
+are counted. Each anchor goes with one 23-bit segment of the text's fingerprint. A bit of a segment is set where the smallest
+hash of the text's shingles in that bit's slot falls into one eighth, so copies differ in few bits. The segment is decoded by the
+binary Golay code: all codewords that are nearest to it or to a vector one bit away give an index, so two segments that differ in
+up to two bits share one. By the pigeonhole principle copies whose errors are spread over all segments still have some segment
+with at most two. Texts that share (anchor, segment, index) are candidates. A sketch of 128 bits rules most of the others out
+before any text is sent; the exact similarity decides.
 
 The 12-bit index alone has 4,096 values, too few to tell millions of records apart; that is why each key also holds an anchor.
+
+Distinct texts are dealt by hash into groups of about ``GROUP_CHARACTERS``, and moved once; every further step goes to the groups.
 """
 
 from __future__ import annotations
@@ -28,15 +32,14 @@ from millrace.llm.arrays import codepoints, mix, owners, rolling
 BITS = 23
 GENERATOR = 0b101011100011  # of the binary Golay code, degree 11
 SHINGLE = 3
-ANCHOR = 10
-ANCHORS = 8
+ANCHOR, ANCHORS, WINDOW = 7, 8, 6
+SHORT, SHORT_ANCHOR, SHORT_ANCHORS = 32, 4, 6
 SEGMENTS = 4
 GROUP_CHARACTERS = 2_000_000
 DENSITY = 7
-SKETCH = 32
-SKETCH_ERRORS = 10
-LONG_SKETCH_ERRORS = 37
+SKETCH = 128
 RARE = 8
+LEAST_THRESHOLD = 0.65  # the keys are made for copies of this similarity and above
 
 
 @lru_cache(1)
@@ -62,16 +65,36 @@ def golay_indices(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(new)[0], decoded[new].astype(np.int64)
 
 
-def _places(points: np.ndarray, offsets: np.ndarray, anchor: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of ``anchor`` characters: its text's number, its hash, and its bucket in the upper and 32 more bits in the lower half."""
-    at, text = owners(offsets, anchor)
-    hashes = rolling(points, anchor)[at]
-    return text, hashes, ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
-
+def candidates(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the runs of each text that can be anchors, in order of the texts.
 
-def _extended(texts: list[str], anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """A text shorter than an anchor is its own anchor: it is extended by a character that no text has."""
-    return codepoints([t + "￿" * max(0, anchor - len(t)) for t in texts])
+    Runs of ANCHOR characters that have the smallest hash of some WINDOW neighbours, all runs of a text with fewer than that; of a
+    text below SHORT characters also every run of SHORT_ANCHOR.
+    """
+    points, offsets = codepoints(texts)
+    at, text = owners(offsets, ANCHOR)
+    hashes = rolling(points, ANCHOR)[at]
+    lone = np.bincount(text, minlength=len(texts))[text] < WINDOW if len(text) else np.zeros(0, bool)
+    n = len(hashes) - WINDOW + 1
+    if n > 0:
+        low = np.minimum.reduce([hashes[i : i + n] for i in range(WINDOW)])
+        within = text[:n] == text[WINDOW - 1 :]
+        for i in range(WINDOW):
+            lone[i : i + n] |= within & (hashes[i : i + n] == low)
+    short = np.array([len(t) < SHORT for t in texts], bool)
+    at, small = owners(offsets, SHORT_ANCHOR)
+    of_short = short[small]
+    other = mix(rolling(points, SHORT_ANCHOR)[at[of_short]] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    number, run = np.concatenate([text[lone], small[of_short]]), np.concatenate([hashes[lone], other])
+    kind = np.concatenate([np.zeros(int(lone.sum()), bool), np.ones(len(other), bool)])
+    order = np.argsort(number, kind="stable")
+    # The lowest bit tells runs of SHORT_ANCHOR from the others.
+    return number[order], (run[order] & ~np.uint64(1)) | kind[order]
+
+
+def _places(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each run in the upper and 32 more bits of its hash in the lower half."""
+    return ((hashes >> np.uint64(33)) % np.uint64(buckets)) << np.uint64(32) | (hashes >> np.uint64(1)) & np.uint64(0xFFFFFFFF)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -83,10 +106,16 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
 
 
-def _own_runs(anchor: int, buckets: int):
+def _first_of_each(group: pa.Table) -> pa.Table:
+    """A group of texts with each id once."""
+    ids = group["id"].to_numpy()
+    return group.take(pa.array(np.sort(np.unique(ids, return_index=True)[1])))
+
+
+def _own_runs(buckets: int):
     def own(group: pa.Table) -> pa.Table:
-        """The distinct runs of a group of texts by bucket, in order, as differences, with their occurrences in the group."""
-        places, counts = np.unique(_places(*_extended(group["text"].to_pylist(), anchor), anchor, buckets)[2], return_counts=True)
+        """The candidate runs of a group of texts by bucket, in order, as differences, with their occurrences in the group."""
+        places, counts = np.unique(_places(candidates(_first_of_each(group)["text"].to_pylist())[1], buckets), return_counts=True)
         bounds = np.searchsorted(places, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         low = (places & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rows = [(b, _packed(np.diff(low[i:j], prepend=0)), _packed(counts[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])) if i < j]
@@ -112,13 +141,13 @@ def count_codes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= RARE, counts, RARE + np.minimum(np.round(4 * np.log2(np.maximum(counts, RARE) / RARE)), 240)).astype(np.uint8)
 
 
-def run_counts(grouped: DataFrame, buckets: int, anchor: int = ANCHOR) -> DataFrame:
-    """(g, bucket, codes): occurrences in all texts of each distinct run of a group of texts. ``grouped`` has g, text and more.
+def run_counts(grouped: DataFrame, buckets: int) -> DataFrame:
+    """(g, bucket, codes): occurrences in all texts of each candidate run of a group of texts. ``grouped`` has g, id, text and more.
 
     Groups send each of their distinct runs once to the run's bucket, which adds up the counts and sends them back in the
-    order they came, so that nothing grows with the input but the number of groups. Runs are told apart by bucket and 32 bits.
+    order they came: one row a group and bucket, and never more rows than runs. Runs are told apart by bucket and 32 bits.
     """
-    own = grouped.groupBy("g").applyInArrow(_own_runs(anchor, buckets), "g int, bucket int, runs binary, counts binary")
+    own = grouped.groupBy("g").applyInArrow(_own_runs(buckets), "g int, bucket int, runs binary, counts binary")
     return own.groupBy("bucket").applyInArrow(_all_counts, "g int, bucket int, codes binary")
 
 
@@ -136,21 +165,21 @@ def slot_minima(points: np.ndarray, offsets: np.ndarray, slots: int, seed: int)
     return low[:, :slots]
 
 
-def segments(points: np.ndarray, offsets: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint of each text: n_segments vectors of 23 bits, and a sketch of 32 evenly set bits to rule candidates out."""
-    low = slot_minima(points, offsets, BITS * n_segments + SKETCH, 0)
-    bits = ((low[:, : BITS * n_segments] & DENSITY) == 0).reshape(-1, n_segments, BITS)
-    sketch = (low[:, BITS * n_segments :] >> 5) & 1
-    return (bits << np.arange(BITS)).sum(2), (sketch << np.arange(SKETCH)).sum(1)
+def segments(points: np.ndarray, offsets: np.ndarray, n_segments: int) -> np.ndarray:
+    """Fingerprint of each text: n_segments vectors of 23 bits."""
+    low = slot_minima(points, offsets, BITS * n_segments, 0)
+    return (((low & DENSITY) == 0).reshape(-1, n_segments, BITS) << np.arange(BITS)).sum(2)
 
 
-def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for begin in range(0, len(texts), 2048):
-            low = slot_minima(*codepoints(texts[begin : begin + 2048]), 128, 1000)
-            words = np.packbits((low >> 5 & 1).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids.slice(begin, 2048), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], ["id", "s1", "s2"])
+def sketches(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two words of 64 evenly set bits of each text."""
+    return np.packbits((slot_minima(points, offsets, SKETCH, 1000) >> 5 & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def sketch_limit(threshold: float) -> int:
+    """Bits in which the sketches of copies at the threshold may differ: four and a half standard deviations above the mean."""
+    p = (1 - threshold) / 2
+    return int(np.ceil(SKETCH * p + 4.5 * np.sqrt(SKETCH * p * (1 - p))))
 
 
 def anchors(text: np.ndarray, hashes: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,32 +196,44 @@ def anchors(text: np.ndarray, hashes: np.ndarray, count: np.ndarray, n: int) ->
     return text[rank < n], hashes[rank < n]
 
 
-def _keys(anchor: int, n_anchors: int, n_segments: int, buckets: int):
+def _keys(n_anchors: int, n_segments: int, buckets: int):
     def keys(group: pa.Table, counted: pa.Table) -> pa.Table:
+        """(id, key, s1, s2): the keys of each text, and one row of it with its sketch and no key."""
         made = []
-        texts, seeds = group["text"].to_pylist(), np.array([zlib.crc32((t or "").encode()) for t in group["record_table"].to_pylist()], np.uint64)
+        group = _first_of_each(group) if len(group) else group
+        texts, seeds = group["text"].to_pylist(), np.array([zlib.crc32(t.encode()) for t in group["record_table"].to_pylist()], np.uint64)
         if texts:
             parts = sorted(zip(counted["bucket"].to_pylist(), counted["codes"].to_pylist()))
             codes = np.frombuffer(b"".join(zlib.decompress(c) for _, c in parts), np.uint8).astype(np.int64)
-            text, hashes, places = _places(*_extended(texts, anchor), anchor, buckets)
-            known, which = np.unique(places, return_inverse=True)
+            text, hashes = candidates(texts)
+            known, which = np.unique(_places(hashes, buckets), return_inverse=True)
             if len(known) != len(codes):
                 raise RuntimeError("the counts of a group of texts are not those of its runs")
-            values = np.where(codes <= RARE, codes, RARE * 2.0 ** ((codes - RARE) / 4))
-            text, run = anchors(text, hashes, values[which], n_anchors)
+            values = np.where(codes <= RARE, codes, RARE * 2.0 ** ((codes - RARE) / 4))[which]
+            short = (hashes & np.uint64(1)).astype(bool)
+            drawn = [anchors(text[kind], hashes[kind], values[kind], n) for kind, n in ((~short, n_anchors), (short, SHORT_ANCHORS))]
+            text, run = (np.concatenate(x) for x in zip(*drawn))
+            order = np.argsort(text, kind="stable")
+            text, run = text[order], run[order]
             for begin in range(0, len(texts), 2048):
                 i, j = np.searchsorted(text, (begin, begin + 2048))
-                prints, sketch = segments(*codepoints(texts[begin : begin + 2048]), n_segments)
+                part = codepoints(texts[begin : begin + 2048])
+                prints, sketch = segments(*part, n_segments), sketches(*part)
                 own, runs = text[i:j] - begin, run[i:j]
-                which, index = golay_indices(prints[own, (runs % np.uint64(n_segments)).astype(np.int64)])
-                key = mix(mix(runs[which] ^ seeds[begin + own[which]]) * np.uint64(4096) + index.astype(np.uint64)) & np.uint64(0xFFFFFFFF << 32)
-                packed = key.view(np.int64) | sketch[own[which]]
-                made.append(pa.Table.from_arrays([group["id"].slice(begin, 2048).take(pa.array(own[which])), pa.array(packed)], ["id", "packed"]))
-        return pa.concat_tables(made) if made else pa.table({"id": pa.array([], pa.int64()), "packed": pa.array([], pa.int64())})
+                which, index = golay_indices(prints[own, ((runs >> np.uint64(1)) % np.uint64(n_segments)).astype(np.int64)])
+                key = mix(mix(runs[which] ^ seeds[begin + own[which]]) * np.uint64(4096) + index.astype(np.uint64)).view(np.int64)
+                ids = group["id"].slice(begin, 2048)
+                nothing = pa.nulls(len(key), pa.int64())
+                made.append(pa.Table.from_arrays([ids.take(pa.array(own[which])), pa.array(key), nothing, nothing], KEY_NAMES))
+                made.append(pa.Table.from_arrays([ids, pa.nulls(len(ids), pa.int64()), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], KEY_NAMES))
+        return pa.concat_tables(made) if made else pa.table({name: pa.array([], pa.int64()) for name in KEY_NAMES})
 
     return keys
 
 
+KEY_NAMES = ["id", "key", "s1", "s2"]
+
+
 def shingles(text: str, width: int = SHINGLE) -> frozenset[str]:
     """Distinct runs of ``width`` characters."""
     return frozenset(map("".join, zip(*[text[i:] for i in range(width)])))
@@ -206,22 +247,40 @@ def alike(a: frozenset[str], b: frozenset[str], threshold: float) -> bool:
     return shared >= threshold * (len(a) + len(b) - shared)
 
 
+def _distinct_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each id of a partition, so that a text in a third of all rows is sent once by each partition."""
+    known: set[int] = set()
+    for batch in batches:
+        keep = []
+        for id_ in batch.column("id").to_pylist():
+            keep.append(id_ not in known)
+            known.add(id_)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _send(group: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The texts that another group wants: (g, id_a, id_b, record_table, text), id_b null."""
+    at = {id_: i for i, id_ in enumerate(group["id"].to_pylist())}
+    rows = pa.array([at[id_] for id_ in wanted["id_a"].to_pylist()], pa.int64())
+    return pa.Table.from_arrays([wanted["to"], wanted["id_a"], pa.nulls(len(rows), pa.int64()), group["record_table"].take(rows), group["text"].take(rows)], ["g", "id_a", "id_b", "record_table", "text"])
+
+
 def _verify(threshold: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[str]] = {}
-
-        def of(text: str) -> frozenset[str]:
-            if text not in known:
-                if len(known) >= 4000:
-                    known.clear()
-                known[text] = shingles(text)
-            return known[text]
-
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("record_table", "other_table", "text_a", "text_b"))
-            # Tables are compared here: as a filter in the plan it would become a join key, and shuffle the texts once more.
-            keep = [s == t and alike(of(a), of(b), threshold) for s, t, a, b in zip(*columns)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["record_table", "key_a", "key_b"])
+    def verify(group: pa.Table, asked: pa.Table) -> pa.Table:
+        """The pairs asked for (rows with id_b) that are copies; the first text of each stands in a row without id_b."""
+        sent = {i: (t, x) for i, b, t, x in zip(*(asked[c].to_pylist() for c in ("id_a", "id_b", "record_table", "text"))) if b is None}
+        own = dict(zip(group["id"].to_pylist(), zip(group["record_table"].to_pylist(), group["text"].to_pylist())))
+        known: dict[int, frozenset[str]] = {}
+        out: list[tuple[int, int]] = []
+        for a, b in sorted((a, b) for a, b in zip(asked["id_a"].to_pylist(), asked["id_b"].to_pylist()) if b is not None):
+            if len(known) > 4000:
+                known.clear()
+            for id_, (_, text) in ((a, sent[a]), (b, own[b])):
+                if id_ not in known:
+                    known[id_] = shingles(text)
+            if sent[a][0] == own[b][0] and alike(known[a], known[b], threshold):
+                out.append((a, b))
+        return pa.table({"id_a": pa.array([a for a, _ in out], pa.int64()), "id_b": pa.array([b for _, b in out], pa.int64())})
 
     return verify
 
@@ -232,29 +291,35 @@ def near_copies(records: DataFrame, threshold: float = 0.65, n_anchors: int = AN
     ``records`` has record_table, key, text; the result (record_table, key_a, key_b), key_a < key_b. Redelivered rows count
     once. Records with the same text form a class: each is linked to the smallest key of its class, and links between
     different texts are given between these representatives of the classes, so that a third of all rows being exact copies
-    costs one row each. Null texts and texts below three characters match nothing.
+    costs one row each. Null texts, keys and tables and texts below three characters match nothing. The keys are made for
+    thresholds from ``LEAST_THRESHOLD`` on; a lower one is refused rather than answered in part.
     """
-    records = records.select("record_table", "key", "text").filter((F.length("text") >= SHINGLE) & F.col("key").isNotNull())
-    records = records.withColumn("id", F.xxhash64("record_table", "text"))
-    # One aggregate holds all columns, so that every use of it has the same plan and the texts are shuffled once.
-    texts = records.groupBy("id").agg(F.min(F.struct("key", "record_table", "text")).alias("r"))
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"the keys find copies of similarity {LEAST_THRESHOLD} and above")
+    records = records.select("record_table", "key", "text").filter((F.length("text") >= SHINGLE) & F.col("key").isNotNull() & F.col("record_table").isNotNull())
     groups = 1 + (records.agg(F.sum(F.length("text"))).first()[0] or 0) // GROUP_CHARACTERS
-    grouped = texts.select("id", "r.text", "r.record_table", F.pmod("id", F.lit(groups)).cast("int").alias("g"))
-    counts = run_counts(grouped, groups)
-    keys = grouped.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_keys(ANCHOR, n_anchors, n_segments, groups), "id long, packed long")
-    # The upper half of packed is the key, the lower half the sketch.
-    same_key = F.shiftright("a.packed", 32) == F.shiftright("b.packed", 32)
-    errors = F.bit_count((F.col("a.packed").bitwiseXOR(F.col("b.packed"))).bitwiseAND(F.lit(0xFFFFFFFF)))
-    pairs = keys.alias("a").join(keys.alias("b"), same_key & (F.col("a.id") < F.col("b.id")) & (errors <= SKETCH_ERRORS)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    # A sketch of 128 bits rules out most of the rest before any text is sent: copies at the threshold differ in 19 of them, within four standard deviations in 37.
-    sketches = texts.select("id", "r.text").mapInArrow(_long_sketches, "id long, s1 long, s2 long")
-    sketch_a, sketch_b = (sketches.select(F.col("id").alias(f"id_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")) for x in "ab")
+    buckets = -(-groups // 2)
+    group_of = lambda id_: F.pmod(id_, F.lit(groups)).cast("int")
+    records = records.withColumn("id", F.xxhash64("record_table", "text"))
+    texts = records.select(group_of(F.col("id")).alias("g"), "id", "record_table", "text").mapInArrow(_distinct_in_partition, "g int, id long, record_table string, text string").repartition("g")
+    counts = run_counts(texts, buckets)
+    made = texts.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_keys(n_anchors, n_segments, buckets), "id long, key long, s1 long, s2 long")
+    keys = made.filter("key is not null").select("id", "key")
+    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    sketch = made.filter("key is null")
+    for x in "ab":
+        pairs = pairs.join(sketch.select(F.col("id").alias(f"id_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")), f"id_{x}")
     errors = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    pairs = pairs.join(sketch_a, "id_a").join(sketch_b, "id_b").filter(errors <= LONG_SKETCH_ERRORS).select("id_a", "id_b")
-    # Joined by the name that texts are partitioned by, which spares their second shuffle.
-    with_a = pairs.withColumnRenamed("id_a", "id").join(texts.withColumnRenamed("r", "r_a"), "id").select(F.col("id_b").alias("id"), "r_a")
-    candidates = with_a.join(texts.withColumnRenamed("r", "r_b"), "id")
-    checked = candidates.select("r_a.record_table", F.col("r_b.record_table").alias("other_table"), F.least("r_a.key", "r_b.key").alias("key_a"), F.greatest("r_a.key", "r_b.key").alias("key_b"), F.col("r_a.text").alias("text_a"), F.col("r_b.text").alias("text_b"))
-    between = checked.mapInArrow(_verify(threshold), "record_table string, key_a string, key_b string").filter("key_a < key_b")
-    same = records.select("id", "record_table", "key").distinct().join(texts.select("id", F.col("r.key").alias("first_key")), "id").filter("first_key < key").select("record_table", F.col("first_key").alias("key_a"), F.col("key").alias("key_b"))
+    pairs = pairs.filter(errors <= sketch_limit(threshold)).select("id_a", "id_b")
+    # Each first text goes once to each group that asks for it, and is compared there.
+    wanted = pairs.select(group_of(F.col("id_a")).alias("g"), "id_a", group_of(F.col("id_b")).alias("to")).distinct()
+    row = "g int, id_a long, id_b long, record_table string, text string"
+    sent = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_send, row)
+    asked = sent.unionByName(pairs.select(group_of(F.col("id_b")).alias("g"), "id_a", "id_b"), allowMissingColumns=True)
+    links = texts.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_verify(threshold), "id_a long, id_b long")
+    first = records.groupBy("id", "record_table").agg(F.min("key").alias("first_key"))
+    a, b = (first.select(F.col("id").alias(f"id_{x}"), F.col("record_table").alias(f"table_{x}"), F.col("first_key").alias(f"first_{x}")) for x in "ab")
+    named = links.join(a, "id_a").join(b, "id_b").filter("table_a = table_b")
+    between = named.select(F.col("table_a").alias("record_table"), F.least("first_a", "first_b").alias("key_a"), F.greatest("first_a", "first_b").alias("key_b")).filter("key_a < key_b")
+    same = records.select("id", "record_table", "key").distinct().join(first, ["id", "record_table"]).filter("first_key < key").select("record_table", F.col("first_key").alias("key_a"), F.col("key").alias("key_b"))
     return between.unionByName(same).distinct()

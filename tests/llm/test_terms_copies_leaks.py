@@ -91,22 +91,55 @@ def test_near_copies_against_brute_force(spark):
     assert got <= want and len(got & want) >= 0.97 * len(want)
 
 
-def test_runs_are_counted_at_any_number(spark):
+def test_candidate_runs_are_counted_at_any_number(spark):
     rng = random.Random(11)
     letters = [chr(c) for c in range(0x4E00, 0x9E00)]
-    texts = ["".join(rng.choices(letters, k=1000)) for _ in range(1500)]  # more runs than a table of 2^20 counters can tell apart
-    texts += [texts[0], "甲乙丙" * 3, texts[1][:500] + "戊"]
-    frame = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "g int, text string")
-    got = {(r["g"], r["bucket"]): np.frombuffer(nc.zlib.decompress(r["codes"]), np.uint8) for r in nc.run_counts(frame, 3).collect()}
-    every = np.concatenate([codes for codes in got.values()])
-    assert set(got) == {(g, b) for g in range(3) for b in range(3)}
-    # A run is once in each group that holds it: 991 runs a text, 1 of the short text, 492 of the last; 32 bits confuse a few.
-    assert 0 <= 1500 * 991 + 1 + 492 - len(every) < 100
-    # Shared: 991 runs within a group, 491 in two groups each; by 2^20 counters about a million would be.
-    assert 991 + 2 * 491 <= (every > 1).sum() < 2_400
+    texts = ["".join(rng.choices(letters, k=1000)) for _ in range(1500)]
+    texts += [texts[0] + "戊", "甲乙丙" * 3, texts[1][:500] + "戊", texts[2][:25], "甲乙", "甲乙丙丁"]
+    rows = [(i % 3, i, t) for i, t in enumerate(texts)]
+    rows.append(rows[4])  # a text that stands twice in its group counts once
+    frame = spark.createDataFrame(rows, "g int, id long, text string")
+    got = {(r["g"], r["bucket"]): np.frombuffer(nc.zlib.decompress(r["codes"]), np.uint8) for r in nc.run_counts(frame, 2).collect()}
+    every, groups = {}, []
+    for g in range(3):
+        runs, counts = np.unique(nc._places(nc.candidates([t for h, _, t in rows[:-1] if h == g])[1], 2), return_counts=True)
+        groups.append(runs)
+        for run, count in zip(runs.tolist(), counts.tolist()):
+            every[run] = every.get(run, 0) + count
+    assert 300_000 < len(every) < 600_000
+    for g, runs in enumerate(groups):
+        want = nc.count_codes(np.array([every[run] for run in runs.tolist()]))
+        assert np.concatenate([got[g, b] for b in (0, 1)]).tolist() == want.tolist()
     assert nc.count_codes(np.array([1, 2, 8, 16, 10**9])).tolist() == [1, 2, 8, 12, 116]
 
 
+def test_shared_stretches_have_the_same_candidates():
+    rng = random.Random(2)
+    for n in (12, 13, 40, 300):
+        stretch = noise(rng, n)
+        a, b = noise(rng, 60) + stretch + noise(rng, 7), stretch + noise(rng, 40)
+        shared = set(nc.candidates([a])[1].tolist()) & set(nc.candidates([b])[1].tolist())
+        assert len(shared) >= (n - nc.ANCHOR + 1) // nc.WINDOW
+
+
+def test_short_copies_are_found(spark):
+    rng = random.Random(13)
+    letters = [chr(c) for c in range(0x4E00, 0x9E00)]
+    texts = []
+    for n in range(3, 21):
+        for _ in range(12):
+            text = "".join(rng.choices(letters, k=n))
+            texts += [text, text + rng.choice(letters), text[1:], text[: n // 2] + rng.choice(letters) + text[n // 2 + 1 :], text[: n // 2] + rng.choice(letters) + text[n // 2 :]]
+    rows = [("t", f"k{i:05}", t) for i, t in enumerate(dict.fromkeys(texts))]
+    got = {(r["key_a"], r["key_b"]) for r in nc.near_copies(spark.createDataFrame(rows, RECORDS)).collect()}
+    grams = {k: nc.shingles(t) for _, k, t in rows if len(t) >= 3}
+    keys = sorted(grams)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if grams[a] & grams[b] and nc.alike(grams[a], grams[b], 0.65)}
+    assert got <= want and len(want) > 300 and len(got) >= 0.98 * len(want)
+    with pytest.raises(ValueError, match="similarity"):
+        nc.near_copies(spark.createDataFrame(rows, RECORDS), 0.5)
+
+
 def test_near_copies_of_nothing_and_of_one_hot_text(spark):
     assert nc.near_copies(spark.createDataFrame([], RECORDS)).count() == 0
     hot = spark.range(3000).select(F.lit("t").alias("record_table"), F.format_string("k%05d", "id").alias("key"), F.lit("同一段文字在三分之一的记录里出现，一字不差地重复").alias("text"))
