@@ -32,13 +32,14 @@ from millrace.llm.arrays import codepoints, mix, owners, rolling
 BITS = 23
 GENERATOR = 0b101011100011  # of the binary Golay code, degree 11
 SHINGLE = 3
-ANCHOR, ANCHORS, WINDOW = 7, 8, 6
-SHORT, SHORT_ANCHOR, SHORT_ANCHORS = 32, 4, 6
+ANCHOR, ANCHORS, WINDOW = 10, 7, 3
+SHORT, SHORT_ANCHOR, SHORT_ANCHORS = 32, 4, 5
 SEGMENTS = 4
 GROUP_CHARACTERS = 2_000_000
-DENSITY = 7
-SKETCH = 128
+DENSITY = 12  # one bit in so many is set
+SHORT_SKETCH, SKETCH = 32, 128
 RARE = 8
+EMPTY = np.iinfo(np.int64).max  # a slot without a shingle
 LEAST_THRESHOLD = 0.65  # the keys are made for copies of this similarity and above
 
 
@@ -93,8 +94,8 @@ def candidates(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each run in the upper and 32 more bits of its hash in the lower half."""
-    return ((hashes >> np.uint64(33)) % np.uint64(buckets)) << np.uint64(32) | (hashes >> np.uint64(1)) & np.uint64(0xFFFFFFFF)
+    """The bucket of each run in the upper and 28 more bits of its hash in the lower half."""
+    return ((hashes >> np.uint64(33)) % np.uint64(buckets)) << np.uint64(32) | (hashes >> np.uint64(1)) & np.uint64(0xFFFFFFF)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -145,7 +146,7 @@ def run_counts(grouped: DataFrame, buckets: int) -> DataFrame:
     """(g, bucket, codes): occurrences in all texts of each candidate run of a group of texts. ``grouped`` has g, id, text and more.
 
     Groups send each of their distinct runs once to the run's bucket, which adds up the counts and sends them back in the
-    order they came: one row a group and bucket, and never more rows than runs. Runs are told apart by bucket and 32 bits.
+    order they came: one row a group and bucket, and never more rows than runs. Runs are told apart by bucket and 28 bits.
     """
     own = grouped.groupBy("g").applyInArrow(_own_runs(buckets), "g int, bucket int, runs binary, counts binary")
     return own.groupBy("bucket").applyInArrow(_all_counts, "g int, bucket int, codes binary")
@@ -157,7 +158,7 @@ def slot_minima(points: np.ndarray, offsets: np.ndarray, slots: int, seed: int)
     hashes = rolling(points, SHINGLE)[at]
     passes = -(-slots // 42)
     within = -(-slots // passes)
-    low = np.full((len(offsets) - 1, within * passes), np.iinfo(np.int64).max)
+    low = np.full((len(offsets) - 1, within * passes), EMPTY)
     for number in range(passes):
         h = mix(hashes + np.uint64(2 * (seed + number) + 1))
         slot = ((h >> np.uint64(44)) * np.uint64(within)) >> np.uint64(20)
@@ -168,18 +169,29 @@ def slot_minima(points: np.ndarray, offsets: np.ndarray, slots: int, seed: int)
 def segments(points: np.ndarray, offsets: np.ndarray, n_segments: int) -> np.ndarray:
     """Fingerprint of each text: n_segments vectors of 23 bits."""
     low = slot_minima(points, offsets, BITS * n_segments, 0)
-    return (((low & DENSITY) == 0).reshape(-1, n_segments, BITS) << np.arange(BITS)).sum(2)
+    return (((low % DENSITY == 0) & (low < EMPTY)).reshape(-1, n_segments, BITS) << np.arange(BITS)).sum(2)
 
 
-def sketches(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Two words of 64 evenly set bits of each text."""
-    return np.packbits((slot_minima(points, offsets, SKETCH, 1000) >> 5 & 1).astype(np.uint8), axis=1).view(np.int64)
+def sketches(points: np.ndarray, offsets: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Words of 64 evenly set bits of each text; the first ``SHORT_SKETCH`` stand in the upper half of the first word."""
+    passes = [slot_minima(points, offsets, SHORT_SKETCH, 1000 + i) >> 5 & 1 for i in range(bits // SHORT_SKETCH)]
+    halves = [(p << np.arange(SHORT_SKETCH)).sum(1) for p in passes]
+    halves += [np.zeros_like(halves[0])] * (len(halves) % 2)
+    return np.stack([high << np.int64(32) | low for high, low in zip(halves[::2], halves[1::2])], 1)
 
 
-def sketch_limit(threshold: float) -> int:
-    """Bits in which the sketches of copies at the threshold may differ: four and a half standard deviations above the mean."""
+def sketch_limit(threshold: float, bits: int = SKETCH, deviations: float = 4.5) -> int:
+    """Bits in which the sketches of copies at the threshold may differ: so many standard deviations above the mean."""
     p = (1 - threshold) / 2
-    return int(np.ceil(SKETCH * p + 4.5 * np.sqrt(SKETCH * p * (1 - p))))
+    return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
+
+
+def codes_of(ids: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """What a text is called in its keys: 32 bits of its sketch and 32 of its id, so that candidates are ruled out by their names.
+
+    Different texts have one code only if their sketches agree too, as those of near copies do; then 32 bits tell them apart.
+    """
+    return sketch[:, 0] & ~np.int64(0xFFFFFFFF) | ids & np.int64(0xFFFFFFFF)
 
 
 def anchors(text: np.ndarray, hashes: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +210,7 @@ def anchors(text: np.ndarray, hashes: np.ndarray, count: np.ndarray, n: int) ->
 
 def _keys(n_anchors: int, n_segments: int, buckets: int):
     def keys(group: pa.Table, counted: pa.Table) -> pa.Table:
-        """(id, key, s1, s2): the keys of each text, and one row of it with its sketch and no key."""
+        """(code, key): the keys of each text."""
         made = []
         group = _first_of_each(group) if len(group) else group
         texts, seeds = group["text"].to_pylist(), np.array([zlib.crc32(t.encode()) for t in group["record_table"].to_pylist()], np.uint64)
@@ -215,23 +227,28 @@ def _keys(n_anchors: int, n_segments: int, buckets: int):
             text, run = (np.concatenate(x) for x in zip(*drawn))
             order = np.argsort(text, kind="stable")
             text, run = text[order], run[order]
+            ids = group["id"].to_numpy()
             for begin in range(0, len(texts), 2048):
                 i, j = np.searchsorted(text, (begin, begin + 2048))
                 part = codepoints(texts[begin : begin + 2048])
-                prints, sketch = segments(*part, n_segments), sketches(*part)
+                prints, names = segments(*part, n_segments), codes_of(ids[begin : begin + 2048], sketches(*part, SHORT_SKETCH))
                 own, runs = text[i:j] - begin, run[i:j]
                 which, index = golay_indices(prints[own, ((runs >> np.uint64(1)) % np.uint64(n_segments)).astype(np.int64)])
                 key = mix(mix(runs[which] ^ seeds[begin + own[which]]) * np.uint64(4096) + index.astype(np.uint64)).view(np.int64)
-                ids = group["id"].slice(begin, 2048)
-                nothing = pa.nulls(len(key), pa.int64())
-                made.append(pa.Table.from_arrays([ids.take(pa.array(own[which])), pa.array(key), nothing, nothing], KEY_NAMES))
-                made.append(pa.Table.from_arrays([ids, pa.nulls(len(ids), pa.int64()), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], KEY_NAMES))
-        return pa.concat_tables(made) if made else pa.table({name: pa.array([], pa.int64()) for name in KEY_NAMES})
+                made.append(pa.table({"code": names[own[which]], "key": key}))
+        return pa.concat_tables(made) if made else pa.table({"code": pa.array([], pa.int64()), "key": pa.array([], pa.int64())})
 
     return keys
 
 
-KEY_NAMES = ["id", "key", "s1", "s2"]
+def _sketched(group: pa.Table) -> pa.Table:
+    """(code, id, s1, s2) of each text of a group."""
+    group = _first_of_each(group)
+    ids, texts, made = group["id"].to_numpy(), group["text"].to_pylist(), []
+    for begin in range(0, len(texts), 2048):
+        sketch = sketches(*codepoints(texts[begin : begin + 2048]))
+        made.append(pa.table({"code": codes_of(ids[begin : begin + 2048], sketch), "id": ids[begin : begin + 2048], "s1": sketch[:, 0].copy(), "s2": sketch[:, 1].copy()}))
+    return pa.concat_tables(made)
 
 
 def shingles(text: str, width: int = SHINGLE) -> frozenset[str]:
@@ -303,14 +320,15 @@ def near_copies(records: DataFrame, threshold: float = 0.65, n_anchors: int = AN
     records = records.withColumn("id", F.xxhash64("record_table", "text"))
     texts = records.select(group_of(F.col("id")).alias("g"), "id", "record_table", "text").mapInArrow(_distinct_in_partition, "g int, id long, record_table string, text string").repartition("g")
     counts = run_counts(texts, buckets)
-    made = texts.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_keys(n_anchors, n_segments, buckets), "id long, key long, s1 long, s2 long")
-    keys = made.filter("key is not null").select("id", "key")
-    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    sketch = made.filter("key is null")
+    keys = texts.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_keys(n_anchors, n_segments, buckets), "code long, key long")
+    differing = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    alike_codes = F.bit_count(F.shiftright(F.col("a.code").bitwiseXOR(F.col("b.code")), 32).bitwiseAND(F.lit(0xFFFFFFFF))) <= sketch_limit(threshold, SHORT_SKETCH, 2.3)
+    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.code") < F.col("b.code")) & alike_codes)
+    pairs = met.select(F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b")).distinct()
+    sketch = texts.groupBy("g").applyInArrow(_sketched, "code long, id long, s1 long, s2 long")
     for x in "ab":
-        pairs = pairs.join(sketch.select(F.col("id").alias(f"id_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")), f"id_{x}")
-    errors = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    pairs = pairs.filter(errors <= sketch_limit(threshold)).select("id_a", "id_b")
+        pairs = pairs.join(sketch.select(F.col("code").alias(f"code_{x}"), F.col("id").alias(f"id_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")), f"code_{x}")
+    pairs = pairs.filter(differing("s1_a", "s1_b") + differing("s2_a", "s2_b") <= sketch_limit(threshold)).select("id_a", "id_b")
     # Each first text goes once to each group that asks for it, and is compared there.
     wanted = pairs.select(group_of(F.col("id_a")).alias("g"), "id_a", group_of(F.col("id_b")).alias("to")).distinct()
     row = "g int, id_a long, id_b long, record_table string, text string"

@@ -106,7 +106,7 @@ def test_candidate_runs_are_counted_at_any_number(spark):
         groups.append(runs)
         for run, count in zip(runs.tolist(), counts.tolist()):
             every[run] = every.get(run, 0) + count
-    assert 300_000 < len(every) < 600_000
+    assert len(every) > 300_000
     for g, runs in enumerate(groups):
         want = nc.count_codes(np.array([every[run] for run in runs.tolist()]))
         assert np.concatenate([got[g, b] for b in (0, 1)]).tolist() == want.tolist()
