@@ -3,24 +3,31 @@
 The lines of a page are labelled as top furniture, body or bottom furniture by a linear conditional model over the sequence:
 each line has layout features (position, likeness to the title, page number forms, rules, sentence ends, headings, how often
 the same line stands at this margin in the whole collection), each label weighs them, and Viterbi finds the best sequence of
-top*, body*, bottom*. Body lines are then joined into paragraphs: words cut by a mark are closed, misread characters replaced.
+top*, body*, bottom*. Body lines are then joined into paragraphs, over the ends of pages too: words cut by a mark are closed,
+misread characters replaced.
 
-Which words exist, and which characters stand in which context, is counted over the whole collection; the counts that occur
-often enough to say anything are a vocabulary, not a copy of the text, and go to the workers with their number checked.
+The weights are fitted on one group of pages (about ``GROUP_CHARACTERS``, dealt by hash): lines that recur at the margins of
+many pages and page numbers are taken for furniture, long sentences and lines amid the page for body, all others are left open.
+A latent structured perceptron starts at the stated weights and is corrected where its best sequence contradicts these labels.
+
+Which words exist, and which characters stand in which context, is counted over the whole collection; each group of pages gets
+the counts that it asks for (grouped_counts), so no place holds a vocabulary and there is no bound on it.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.grouped_counts import Asked, Totals, collection_totals
+
 LEAST_COUNT = 3
-MOST_ENTRIES = 2_000_000
+GROUP_CHARACTERS = 2_000_000
+EPOCHS, STEP = 3, 0.1
 
 # Characters and letter groups that scans take for each other, misread form first.
 HAN_MISREAD = "可司埋理验险仂份末未未末兀元枸构尸户台合走定倩债仕任凤风贸资午年入人人入木本颔额曰日布市卒率忆亿忖付此比顶项己已徽微土士干千大太天夫贝见车东曰目申甲由田问间侍待持特扱报杋机祉社"
@@ -54,50 +61,55 @@ def mask(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub("[0-9]+", "9", line.strip()))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def own_counts(total: Counter, text: str, title: str | None) -> None:
+    """Adds what a page has: lines at the margins, words, characters in context, the end of its title."""
+    lines = [line for line in text.split("\n") if line.strip()]
+    total["pages", ""] += 1
+    for place, margin in (("top", lines[:2]), ("bottom", lines[2:][-2:])):
+        for line in margin:
+            if len(line) <= 60:
+                total[place, mask(line)] += 1
+    for line in lines:
+        if len(line) <= 60:
+            total["line", mask(line)] += 1
+    for word in WORD.findall(text):
+        total["word", word.lower()] += 1
+    for gram in TRIGRAM.findall(JOINED.sub("", text)):
+        total["gram", gram] += 1
+        total["gram", gram[:2] + "?"] += 1
+        total["gram", "?" + gram[1:]] += 1
+    if title:
+        total["ending", title[-2:]] += 1
+
+
+def asked_counts(total: Counter, text: str, page: int | None, title: str | None) -> None:
+    """Notes every count that the repair of a page may ask for, whichever of its lines turn out to be body."""
+    asked = Asked(total)
+    lines = [line for line in text.split("\n") if line.strip()]
+    for number, line in enumerate(lines):
+        following = lines[number + 1] if number + 1 < len(lines) else ""
+        line_features(line, number, len(lines), page, title or "", asked)
+        repair_line(line, lines[number - 1][-1:] if number else "", following[:1], asked)
+        cut_word(line, following, asked["word"])
+
+
+def parts_of(text: str, page: int | None, whole: bool) -> list[tuple[str, int | None]]:
+    """(text, page number) of the pages of a row: one, or those of a document that are joined by form feeds."""
+    return [(part, i + 1) for i, part in enumerate(text.split("\f"))] if whole else [(text, page)]
+
+
+def _rows_of(group: pa.Table) -> list[tuple]:
+    """(doc_id, page, text, title, whole) of a group, redelivered rows once."""
+    return list(dict.fromkeys(zip(*(group[c].to_pylist() for c in ("doc_id", "page", "text", "title", "whole")))))
+
+
+def _listed(group: pa.Table) -> Counter:
     total: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            text = text or ""
-            lines = [line for line in text.split("\n") if line.strip()]
-            total["pages", ""] += 1
-            for place, margin in (("top", lines[:2]), ("bottom", lines[2:][-2:])):
-                for line in margin:
-                    if len(line) <= 60:
-                        total[place, mask(line)] += 1
-            for line in lines:
-                if len(line) <= 60:
-                    total["line", mask(line)] += 1
-            for word in WORD.findall(text):
-                total["word", word.lower()] += 1
-            for gram in TRIGRAM.findall(JOINED.sub("", text)):
-                total["gram", gram] += 1
-                total["gram", gram[:2] + "?"] += 1
-                total["gram", "?" + gram[1:]] += 1
-        for text in batch.column(1).to_pylist():
-            if text:
-                total["ending", text[-2:]] += 1
-        if len(total) > 200_000:
-            yield _rows(total)
-            total = Counter()
-    yield _rows(total)
-
-
-def _rows(total: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([x for _, x in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["kind", "entry", "n"])
-
-
-def learn_pages(pages: DataFrame) -> dict[str, dict[str, int]]:
-    """Counts over all pages: lines at the margins, words, characters in context, ends of titles."""
-    counted = pages.select("text", "title").mapInArrow(_counts, "kind string, entry string, n long").groupBy("kind", "entry").agg(F.sum("n").alias("n")).filter(f"n >= {LEAST_COUNT} or kind = 'pages'")
-    model: dict[str, dict[str, int]] = {"pages": {"": 0}, "top": {}, "bottom": {}, "line": {}, "word": {}, "gram": {}, "ending": {}}
-    entries = 0
-    for row in counted.toLocalIterator():
-        model[row["kind"]][row["entry"]] = row["n"]
-        entries += 1
-        if entries > MOST_ENTRIES:
-            raise ValueError("the vocabulary of these pages is above its bound; raise LEAST_COUNT for a collection of this size")
-    return model
+    for _, page, text, title, whole in _rows_of(group):
+        for part, number in parts_of(text, page, whole):
+            own_counts(total, part, title)
+            asked_counts(total, part, number, title)
+    return total
 
 
 def likeness(line: str, title: str) -> float:
@@ -106,7 +118,7 @@ def likeness(line: str, title: str) -> float:
     return len(pairs & {title[i : i + 2] for i in range(len(title) - 1)}) / len(pairs) if pairs else 0.0
 
 
-# Weights of the line features for the labels top, body, bottom.
+# Weights of the line features for the labels top, body, bottom, from which the fit starts.
 WEIGHTS = {
     "bias": (0.0, 0.5, 0.0),
     "blank": (0.0, 0.2, 0.0),
@@ -135,6 +147,9 @@ def line_features(line: str, number: int, n: int, page: int | None, title: str,
     out = ["bias"]
     core = TRAILING_NUMBER.sub("", text)
     pages = max(model["pages"].get("", 1), 1)
+    masked = mask(text)
+    often, at_margin = model["line"].get(masked, 0), {place: model[place].get(masked, 0) for place in ("top", "bottom")}
+    ending = model["ending"].get(core[-2:], 0)
     numeric = False
     if STRONG_NUMBER.match(text):
         out.append("page number")
@@ -154,13 +169,12 @@ def line_features(line: str, number: int, n: int, page: int | None, title: str,
     likely = max(likeness(core, title), likeness(core.rsplit(" ", 1)[-1], title)) if title else 0.0
     if likely >= 0.6 and not SENTENCE_END.search(core):
         out.append("title")
-    elif not title and model["ending"].get(core[-2:], 0) >= LEAST_COUNT and len(core) < 40 and "，" not in core and "。" not in core:
+    elif not title and ending >= LEAST_COUNT and len(core) < 40 and "，" not in core and "。" not in core:
         out.append("title ending")
-    masked = mask(text)
     for place, share in (("top", 0.002), ("bottom", 0.01)):
         # A running line stands at its margin nearly wherever it stands; a frequent heading or table cell doesn't.
-        count = 0 if title and place == "top" else model[place].get(masked, 0)
-        if count >= max(LEAST_COUNT, share * pages) and count >= 0.8 * model["line"].get(masked, 0) and re.search("[㐀-鿿A-Za-z]{3}", text) and not SENTENCE_END.search(text):
+        count = 0 if title and place == "top" else at_margin[place]
+        if count >= max(LEAST_COUNT, share * pages) and count >= 0.8 * often and re.search("[㐀-鿿A-Za-z]{3}", text) and not SENTENCE_END.search(text):
             out.append(f"frequent {place}")
     if SENTENCE_END.search(text) or re.search("[，。；]", text):
         out.append("sentence")
@@ -175,20 +189,19 @@ def line_features(line: str, number: int, n: int, page: int | None, title: str,
     return [*out, "far"] if 3 < number < n - 3 else out
 
 
-def label_lines(lines: list[str], page: int | None, title: str, model: dict) -> list[int]:
-    """0 (top furniture), 1 (body) or 2 (bottom furniture) of each line, by the best non-falling sequence."""
+def best_sequence(features: list[list[str]], weights: dict, allowed: list[tuple[int, ...]] | None = None) -> list[int]:
+    """The best non-falling sequence of labels; ``allowed`` restricts the labels of each line."""
     best, back = [0.0, 0.0, 0.0], []
-    for number, line in enumerate(lines):
-        features = line_features(line, number, len(lines), page, title, model)
-        gain = [sum(WEIGHTS[f][state] for f in features) for state in range(3)]
+    for number, own in enumerate(features):
+        gain = [sum(weights[f][state] for f in own if f in weights) for state in range(3)]
         came, now = [], []
         for state in range(3):
             before = max(range(state + 1), key=lambda s: best[s])
             came.append(before)
-            now.append(best[before] + gain[state])
+            now.append(best[before] + gain[state] if allowed is None or state in allowed[number] else -1e9)
         back.append(came)
         best = now
-    state = max(range(3), key=lambda s: best[s]) if lines else 1
+    state = max(range(3), key=lambda s: best[s]) if features else 1
     out = []
     for came in reversed(back):
         out.append(state)
@@ -196,6 +209,76 @@ def label_lines(lines: list[str], page: int | None, title: str, model: dict) ->
     return out[::-1]
 
 
+def label_lines(lines: list[str], page: int | None, title: str, model: dict, weights: dict = WEIGHTS) -> list[int]:
+    """0 (top furniture), 1 (body) or 2 (bottom furniture) of each line, by the best non-falling sequence."""
+    return best_sequence([line_features(line, number, len(lines), page, title, model) for number, line in enumerate(lines)], weights)
+
+
+def weak_labels(lines: list[str], model) -> list[tuple[int, ...]]:
+    """The labels that each line may have by what is known without a model."""
+    pages = max(model["pages"].get("", 1), 1)
+    filled = [i for i, line in enumerate(lines) if line.strip()]
+    top, bottom = set(filled[:2]), set(filled[2:][-2:])
+    out: list[tuple[int, ...]] = []
+    for i, line in enumerate(lines):
+        text = line.strip()
+        masked = mask(text) if text else ""
+        margin = max(model["top"].get(masked, 0), model["bottom"].get(masked, 0))
+        recurs = margin >= max(5, 0.01 * pages) and margin >= 0.8 * model["line"].get(masked, 0) and re.search("[㐀-鿿A-Za-z]{3}", text) and not re.search("[，。；]", text)
+        if not text:
+            out.append((0, 1, 2))
+        elif i in top and (STRONG_NUMBER.match(text) or recurs):
+            out.append((0,))
+        elif i in bottom and (STRONG_NUMBER.match(text) or recurs):
+            out.append((2,))
+        elif len(text) > 20 and re.search("[，。；]", text) or i not in top | bottom and 3 < i < len(lines) - 4:
+            out.append((1,))
+        else:
+            out.append((0, 1, 2))
+    return out
+
+
+def fit(pages: list[tuple[list[list[str]], list[tuple[int, ...]]]], epochs: int = EPOCHS, step: float = STEP) -> dict[str, tuple[float, float, float]]:
+    """Weights from (features of the lines, labels that they may have) of each page, averaged over all updates."""
+    weights = {f: list(w) for f, w in WEIGHTS.items()}
+    total = {f: [0.0, 0.0, 0.0] for f in weights}
+    seen = 0
+    for _ in range(epochs):
+        for features, allowed in pages:
+            found = best_sequence(features, weights)
+            if any(state not in a for state, a in zip(found, allowed)):
+                wanted = best_sequence(features, weights, allowed)
+                if all(state in a for state, a in zip(wanted, allowed)):  # labels may contradict the order of a page
+                    for own, right, wrong in zip(features, wanted, found):
+                        if right != wrong:
+                            for f in own:
+                                weights[f][right] += step
+                                weights[f][wrong] -= step
+            seen += 1
+            for f, w in weights.items():
+                for state in range(3):
+                    total[f][state] += w[state]
+    return {f: tuple(x / seen for x in w) for f, w in total.items()} if seen else {f: tuple(w) for f, w in WEIGHTS.items()}
+
+
+def _fit_group(group: pa.Table) -> pa.Table:
+    """Weights fitted on one group of pages by that group's own counts."""
+    rows, total = _rows_of(group), Counter()
+    pages = [(part, number, title) for _, page, text, title, whole in rows for part, number in parts_of(text, page, whole)]
+    for part, _, title in pages:
+        own_counts(total, part, title)
+    model: dict[str, dict[str, int]] = {kind: {} for kind in ("pages", "top", "bottom", "line", "word", "gram", "ending")}
+    for (kind, entry), n in total.items():
+        if n >= LEAST_COUNT or kind == "pages":
+            model[kind][entry] = n
+    made = []
+    for part, number, title in pages:
+        lines = part.split("\n")
+        made.append(([line_features(line, i, len(lines), number, title or "", model) for i, line in enumerate(lines)], weak_labels(lines, model)))
+    weights = fit(made)
+    return pa.table({"feature": pa.array(list(weights), pa.string()), **{label: pa.array([w[i] for w in weights.values()], pa.float64()) for i, label in enumerate(("top", "body", "bottom"))}})
+
+
 def better_word(word: str, words: dict[str, int]) -> str | None:
     """The frequent word that ``word`` is a misread form of."""
     low = word.lower()
@@ -205,10 +288,11 @@ def better_word(word: str, words: dict[str, int]) -> str | None:
         at = low.find(wrong)
         while at >= 0:
             other = low[:at] + right + low[at + len(wrong) :]
-            if words.get(other, 0) >= most:
-                best, most = other, words[other]
+            there = words.get(other, 0)
+            if there >= most:
+                best, most = other, there
             at = low.find(wrong, at + 1)
-    return best and (best.capitalize() if word[0].isupper() or word[0].isdigit() and False else best)
+    return best and (best.capitalize() if word[0].isupper() else best)
 
 
 def better_han(before: str, char: str, after: str, grams: dict[str, int]) -> str | None:
@@ -277,10 +361,8 @@ def cut_word(line: str, following: str, words: dict[str, int]) -> str | None:
         return mark
     if not rest or not head or not re.match("[a-z01]", rest[0]):
         return None
-    known = lambda w: words.get(w.lower(), 0)
-    if known(head + rest[0]):
-        return mark
-    return None if known(head) and known(rest[0]) else mark
+    whole, first, second = (words.get(w.lower(), 0) for w in (head + rest[0], head, rest[0]))
+    return mark if whole or not (first and second) else None
 
 
 def printed_width(line: str) -> int:
@@ -288,66 +370,107 @@ def printed_width(line: str) -> int:
     return len(line) + sum(c > "⺀" for c in line)
 
 
-def repair_page(text: str, page: int | None, title: str | None, model: dict) -> tuple[list[tuple[int, str]], str]:
-    """((line number, kind) of what is wrong, the repaired text in paragraphs)."""
-    lines = text.split("\n")
-    labels = label_lines(lines, page, title or "", model)
-    found = [(i + 1, "furniture") for i, label in enumerate(labels) if label != 1 and lines[i].strip()]
-    body = [i for i, label in enumerate(labels) if label == 1 and lines[i].strip()]
+def repair_text(parts: list[tuple[str, int | None]], title: str | None, model, weights: dict = WEIGHTS) -> tuple[list[list[tuple[int, str]]], str, bool]:
+    """What is wrong in each page, the text of all pages in paragraphs, and whether its last paragraph is left open.
+
+    A page that doesn't end with a sentence goes on in the body of the next one, a word cut there is closed.
+    """
+    found: list[list[tuple[int, str]]] = [[] for _ in parts]
+    body: list[tuple[int, int, str]] = []  # page, line, text
+    for at, (text, page) in enumerate(parts):
+        lines = text.split("\n")
+        labels = label_lines(lines, page, title or "", model, weights)
+        for i, (line, label) in enumerate(zip(lines, labels)):
+            if line.strip() and label != 1:
+                found[at].append((i + 1, "furniture"))
+            elif line.strip():
+                body.append((at, i, line))
+    widths: dict[int, int] = {}
+    for at, _, line in body:
+        widths[at] = max(widths.get(at, 0), printed_width(line))
     paragraphs: list[str] = []
-    open_, width = "", max([printed_width(lines[i]) for i in body], default=0)
-    for k, i in enumerate(body):
-        following = lines[body[k + 1]] if k + 1 < len(body) else ""
-        before = lines[body[k - 1]][-1:] if k else ""
-        fixed, wrong = repair_line(lines[i], before, following[:1], model)
+    open_, goes_on = "", False
+    for k, (at, i, line) in enumerate(body):
+        next_at, next_i, following = body[k + 1] if k + 1 < len(body) else (at, i + 1, "")
+        fixed, wrong = repair_line(line, body[k - 1][2][-1:] if k else "", following[:1], model)
         if wrong:
-            found.append((i + 1, "misread"))
-        mark = cut_word(lines[i], following, model["word"])
+            found[at].append((i + 1, "misread"))
+        mark = cut_word(line, following, model["word"])
         if mark:
-            found.append((i + 1, "hyphen"))
+            found[at].append((i + 1, "hyphen"))
             open_ += CUT_MARK.sub(r"\1", fixed)
             continue
         open_ += fixed.strip()
-        ends = re.search(r"[。！？.!?]$", fixed.strip()) and printed_width(lines[i]) < 0.8 * width
-        blank_next = k + 1 < len(body) and body[k + 1] != i + 1
-        short = printed_width(fixed.strip()) < 0.5 * width and not SENTENCE_END.search(fixed.strip())
+        ended = re.search(r"[。！？.!?]$", fixed.strip())
+        turns = next_at != at
+        ends = ended and (turns or printed_width(line) < 0.8 * widths[at])
+        blank_next = not turns and next_i != i + 1
+        short = not turns and printed_width(fixed.strip()) < 0.5 * widths[at] and not SENTENCE_END.search(fixed.strip())
+        goes_on = not (ended or HEADING.match(fixed))
         if not following or ends or blank_next or HEADING.match(following) or HEADING.match(fixed) or short:
             paragraphs.append(open_)
             open_ = ""
         elif re.search(r"[A-Za-z0-9.,;:)%]$", open_) and re.match(r"[A-Za-z(]", following):
             open_ += " "
-    return sorted(found), "\n".join(paragraphs + ([open_] if open_ else []))
+    return [sorted(f) for f in found], "\n".join(paragraphs + ([open_] if open_ else [])), bool(open_) or goes_on
+
 
+def repair_page(text: str, page: int | None, title: str | None, model, weights: dict = WEIGHTS) -> tuple[list[tuple[int, str]], str]:
+    """((line number, kind) of what is wrong, the repaired text in paragraphs) of a single page."""
+    found, clean, _ = repair_text([(text, page)], title, model, weights)
+    return found[0], clean
 
-def _repair(model):
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [repair_page(t, p, h, model.value) for t, p, h in zip(batch.column("text").to_pylist(), batch.column("page").to_pylist(), batch.column("title").to_pylist())]
-            kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
-            found = pa.array([[{"line_no": n, "kind": k} for n, k in found] for found, _ in rows], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page"), found, pa.array([t for _, t in rows], pa.string())], ["doc_id", "page", "found", "clean"])
+
+FOUND = pa.list_(pa.struct([("page", pa.int32()), ("line_no", pa.int32()), ("kind", pa.string())]))
+REPAIRED = "doc_id string, page int, found array<struct<page: int, line_no: int, kind: string>>, clean string, goes_on boolean"
+
+
+def _repair(weights: dict):
+    def repair(group: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, model = _rows_of(group), Totals(answers, LEAST_COUNT)
+        done = []
+        for doc, page, text, title, whole in rows:
+            parts = parts_of(text, page, whole)
+            found, clean, goes_on = repair_text(parts, title, model, weights)
+            done.append((doc, page, [{"page": number, "line_no": n, "kind": kind} for (_, number), own in zip(parts, found) for n, kind in own], clean, goes_on))
+        columns = list(zip(*done)) or [()] * 5
+        kinds = [pa.string(), pa.int32(), FOUND, pa.string(), pa.bool_()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "page", "found", "clean", "goes_on"])
 
     return repair
 
 
+def _repaired(rows: DataFrame) -> DataFrame:
+    """Repairs (doc_id, page, text, title, whole); every row belongs to the group of its hash."""
+    n_groups = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // GROUP_CHARACTERS
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "page", "text"), F.lit(n_groups)).cast("int").alias("g"), "doc_id", "page", "text", "title", "whole")
+    fitted = dealt.filter("g = 0").groupBy("g").applyInArrow(_fit_group, "feature string, top double, body double, bottom double").collect()  # one row a feature
+    weights = {row["feature"]: (row["top"], row["body"], row["bottom"]) for row in fitted} or WEIGHTS
+    dealt = dealt.repartition("g")
+    answers = collection_totals(dealt, _listed, -(-n_groups // 2), LEAST_COUNT)
+    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_repair(weights), REPAIRED)
+
+
 def repair_pages(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, found, clean) of each page: what was wrong in which line (from 1), and the repaired text.
+    """(doc_id, page, found, clean, goes_on) of each page: what was wrong in which line (from 1), the repaired text, and whether its
+    last paragraph goes on in the next page.
 
     ``pages`` has doc_id, page, text, ``titles`` doc_id, title (used to know a header). Null texts are left out, empty ones
     have an empty result; a null page stays null. Redelivered rows (same doc_id, page and text) count once. Lines are split at
-    each line feed, empty ones counted.
+    each line feed, empty ones counted. A page goes to a group by the hash of the whole row, so a document with many is spread.
     """
-    pages = pages.filter("text is not null").select("doc_id", F.col("page").cast("int").alias("page"), "text").distinct()
+    pages = pages.filter("text is not null").select("doc_id", F.col("page").cast("int").alias("page"), "text", F.lit(False).alias("whole"))
     if titles is None:
         pages = pages.withColumn("title", F.lit(None).cast("string"))
     else:
         pages = pages.join(titles.groupBy("doc_id").agg(F.max("title").alias("title")), "doc_id", "left")
-    model = pages.sparkSession.sparkContext.broadcast(learn_pages(pages))
-    return pages.mapInArrow(_repair(model), "doc_id string, page int, found array<struct<line_no: int, kind: string>>, clean string")
+    return _repaired(pages).withColumn("found", F.transform("found", lambda f: F.struct(f["line_no"].alias("line_no"), f["kind"].alias("kind"))))
 
 
 def repair_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_found, clean) of documents whose raw_text holds pages joined by form feeds, pages repaired on their own and joined again."""
-    pages = documents.filter("raw_text is not null").select("doc_id", "title", F.posexplode(F.split("raw_text", "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
-    fixed = repair_pages(pages, documents.select("doc_id", "title"))
-    return fixed.groupBy("doc_id").agg(F.sum(F.size("found")).cast("int").alias("n_found"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "clean"))), lambda p: p["clean"]), "\n").alias("clean"))
+    """(doc_id, n_found, clean) of documents whose raw_text holds pages joined by form feeds: one continuous text over all pages.
+
+    ``documents`` has doc_id, title, raw_text. Null texts are left out, redelivered rows count once.
+    """
+    rows = documents.filter("raw_text is not null").select("doc_id", F.lit(None).cast("int").alias("page"), F.col("raw_text").alias("text"), "title", F.lit(True).alias("whole"))
+    return _repaired(rows).select("doc_id", F.size("found").alias("n_found"), "clean")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from millrace.llm import markup
+from millrace.llm import markup, scanned_pages
 from millrace.llm.markup import clean_documents, markup_of
 from millrace.llm.one_form import alike_pairs, one_form
 from millrace.llm.scanned_pages import repair_documents, repair_page, repair_pages
@@ -126,3 +126,40 @@ def test_repair_pages(spark):
     assert repair_pages(pages.limit(0)).count() == 0
     whole = spark.createDataFrame([("d", "标题", "标题    1\n甲乙。\f标题    2\n丙丁。")], "doc_id string, title string, raw_text string")
     assert repair_documents(whole).first()["clean"] == "甲乙。\n丙丁。"
+
+
+def test_text_goes_on_over_the_end_of_a_page(spark):
+    rows = [("d", "标题", "标题    1\n甲乙丙丁戊己庚辛，按照合\f标题    2\n同约定办理。\nThe deferred pre-\f标题    3\nmium is paid."), ("e", "标题", ""), ("f", None, None)]
+    documents = spark.createDataFrame(rows + rows[:1], "doc_id string, title string, raw_text string")
+    got = {r["doc_id"]: r for r in repair_documents(documents).collect()}
+    assert set(got) == {"d", "e"} and got["e"]["clean"] == "" and got["d"]["n_found"] == 4
+    assert got["d"]["clean"].replace("\n", "") == "甲乙丙丁戊己庚辛，按照合同约定办理。The deferred premium is paid."
+    pages = spark.createDataFrame([("d", 1, "甲乙丙丁戊己庚辛，按照合"), ("d", 2, "同约定办理。"), ("d", None, "")], "doc_id string, page int, text string")
+    assert {r["page"]: r["goes_on"] for r in repair_pages(pages).collect()} == {1: True, 2: False, None: False}
+
+
+def test_weights_are_fitted_to_what_recurs():
+    features = [["bias", "latin"], ["bias", "sentence"], ["bias", "sentence"]]
+    assert scanned_pages.best_sequence(features, scanned_pages.WEIGHTS) == [1, 1, 1]
+    weights = scanned_pages.fit([(features, [(0,), (1,), (0, 1, 2)])] * 50)
+    assert scanned_pages.best_sequence(features, weights) == [0, 1, 1] and weights["latin"] != scanned_pages.WEIGHTS["latin"]
+    assert scanned_pages.fit([]) == scanned_pages.WEIGHTS
+
+
+def test_groups_get_the_totals_they_ask_for(spark):
+    from collections import Counter
+
+    from millrace.llm.grouped_counts import Totals, collection_totals
+
+    frame = spark.createDataFrame([(0, "a b b"), (1, "b c"), (2, "c ?a")], "g int, text string")
+
+    def listed(group):
+        out = Counter()
+        for word in " ".join(group["text"].to_pylist()).split():
+            out["w", word.strip("?")] += not word.startswith("?")
+        return out
+
+    got = {}
+    for g in range(3):
+        got[g] = Totals(collection_totals(frame, listed, 2, 2).filter(f"g = {g}").toArrow(), 2)["w"]
+    assert [got[g].get(w) for g, w in ((0, "b"), (1, "b"), (2, "c"), (2, "a"), (0, "c"))] == [3, 3, 2, 0, 0]
