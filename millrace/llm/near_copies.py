@@ -37,7 +37,8 @@ SHORT, SHORT_ANCHOR, SHORT_ANCHORS = 32, 4, 5
 SEGMENTS = 4
 GROUP_CHARACTERS = 2_000_000
 DENSITY = 12  # one bit in so many is set
-SHORT_SKETCH, SKETCH = 32, 128
+NAME_BITS = 40  # of a text's id in its code; the other bits are of its sketch
+SKETCH = 64 - NAME_BITS + 64
 RARE = 8
 EMPTY = np.iinfo(np.int64).max  # a slot without a shingle
 LEAST_THRESHOLD = 0.65  # the keys are made for copies of this similarity and above
@@ -172,12 +173,10 @@ def segments(points: np.ndarray, offsets: np.ndarray, n_segments: int) -> np.nda
     return (((low % DENSITY == 0) & (low < EMPTY)).reshape(-1, n_segments, BITS) << np.arange(BITS)).sum(2)
 
 
-def sketches(points: np.ndarray, offsets: np.ndarray, bits: int = SKETCH) -> np.ndarray:
-    """Words of 64 evenly set bits of each text; the first ``SHORT_SKETCH`` stand in the upper half of the first word."""
-    passes = [slot_minima(points, offsets, SHORT_SKETCH, 1000 + i) >> 5 & 1 for i in range(bits // SHORT_SKETCH)]
-    halves = [(p << np.arange(SHORT_SKETCH)).sum(1) for p in passes]
-    halves += [np.zeros_like(halves[0])] * (len(halves) % 2)
-    return np.stack([high << np.int64(32) | low for high, low in zip(halves[::2], halves[1::2])], 1)
+def sketches(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SKETCH evenly set bits of each text: 24 in the upper bits of the first word, 64 in the second."""
+    own = [((slot_minima(points, offsets, n, 1000 + i) >> 5 & 1) << np.arange(n)).sum(1) for i, n in enumerate((64 - NAME_BITS, 32, 32))]
+    return own[0] << np.int64(NAME_BITS), own[1] << np.int64(32) | own[2]
 
 
 def sketch_limit(threshold: float, bits: int = SKETCH, deviations: float = 4.5) -> int:
@@ -186,14 +185,6 @@ def sketch_limit(threshold: float, bits: int = SKETCH, deviations: float = 4.5)
     return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
 
 
-def codes_of(ids: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """What a text is called in its keys: 32 bits of its sketch and 32 of its id, so that candidates are ruled out by their names.
-
-    Different texts have one code only if their sketches agree too, as those of near copies do; then 32 bits tell them apart.
-    """
-    return sketch[:, 0] & ~np.int64(0xFFFFFFFF) | ids & np.int64(0xFFFFFFFF)
-
-
 def anchors(text: np.ndarray, hashes: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, run hash) of the n runs of each text drawn by weight 1 / frequency; all runs where there are fewer."""
     shared = count > 1  # a run that occurs once can't be shared
@@ -210,7 +201,7 @@ def anchors(text: np.ndarray, hashes: np.ndarray, count: np.ndarray, n: int) ->
 
 def _keys(n_anchors: int, n_segments: int, buckets: int):
     def keys(group: pa.Table, counted: pa.Table) -> pa.Table:
-        """(code, key): the keys of each text."""
+        """(code, key, sketch): the keys of each text. A code is the lower bits of the id and the upper ones of the sketch."""
         made = []
         group = _first_of_each(group) if len(group) else group
         texts, seeds = group["text"].to_pylist(), np.array([zlib.crc32(t.encode()) for t in group["record_table"].to_pylist()], np.uint64)
@@ -231,26 +222,17 @@ def _keys(n_anchors: int, n_segments: int, buckets: int):
             for begin in range(0, len(texts), 2048):
                 i, j = np.searchsorted(text, (begin, begin + 2048))
                 part = codepoints(texts[begin : begin + 2048])
-                prints, names = segments(*part, n_segments), codes_of(ids[begin : begin + 2048], sketches(*part, SHORT_SKETCH))
+                prints, (high, sketch) = segments(*part, n_segments), sketches(*part)
+                codes_ = high | ids[begin : begin + 2048] & np.int64((1 << NAME_BITS) - 1)
                 own, runs = text[i:j] - begin, run[i:j]
                 which, index = golay_indices(prints[own, ((runs >> np.uint64(1)) % np.uint64(n_segments)).astype(np.int64)])
                 key = mix(mix(runs[which] ^ seeds[begin + own[which]]) * np.uint64(4096) + index.astype(np.uint64)).view(np.int64)
-                made.append(pa.table({"code": names[own[which]], "key": key}))
-        return pa.concat_tables(made) if made else pa.table({"code": pa.array([], pa.int64()), "key": pa.array([], pa.int64())})
+                made.append(pa.table({"code": codes_[own[which]], "key": key, "sketch": sketch[own[which]]}))
+        return pa.concat_tables(made) if made else pa.table({name: pa.array([], pa.int64()) for name in ("code", "key", "sketch")})
 
     return keys
 
 
-def _sketched(group: pa.Table) -> pa.Table:
-    """(code, id, s1, s2) of each text of a group."""
-    group = _first_of_each(group)
-    ids, texts, made = group["id"].to_numpy(), group["text"].to_pylist(), []
-    for begin in range(0, len(texts), 2048):
-        sketch = sketches(*codepoints(texts[begin : begin + 2048]))
-        made.append(pa.table({"code": codes_of(ids[begin : begin + 2048], sketch), "id": ids[begin : begin + 2048], "s1": sketch[:, 0].copy(), "s2": sketch[:, 1].copy()}))
-    return pa.concat_tables(made)
-
-
 def shingles(text: str, width: int = SHINGLE) -> frozenset[str]:
     """Distinct runs of ``width`` characters."""
     return frozenset(map("".join, zip(*[text[i:] for i in range(width)])))
@@ -275,28 +257,41 @@ def _distinct_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _by_name(table: pa.Table) -> dict[int, list[tuple[int, str, str]]]:
+    """(id, record_table, text) by the lower bits of the id; different texts with the same bits stand together."""
+    out: dict[int, dict[int, tuple]] = {}
+    for row in zip(*(table[c].to_pylist() for c in ("id", "record_table", "text"))):
+        out.setdefault(row[0] & ((1 << NAME_BITS) - 1), {})[row[0]] = row
+    return {name: list(rows.values()) for name, rows in out.items()}
+
+
 def _send(group: pa.Table, wanted: pa.Table) -> pa.Table:
-    """The texts that another group wants: (g, id_a, id_b, record_table, text), id_b null."""
-    at = {id_: i for i, id_ in enumerate(group["id"].to_pylist())}
-    rows = pa.array([at[id_] for id_ in wanted["id_a"].to_pylist()], pa.int64())
-    return pa.Table.from_arrays([wanted["to"], wanted["id_a"], pa.nulls(len(rows), pa.int64()), group["record_table"].take(rows), group["text"].take(rows)], ["g", "id_a", "id_b", "record_table", "text"])
+    """The texts that another group wants: rows with id, record_table and text, without names of a pair."""
+    known = _by_name(group)
+    rows = [(to, *row) for name, to in zip(wanted["name_a"].to_pylist(), wanted["to"].to_pylist()) for row in known[name]]
+    to, ids, tables, texts = zip(*rows) if rows else ((), (), (), ())
+    nothing = pa.nulls(len(rows), pa.int64())
+    return pa.Table.from_arrays([pa.array(to, pa.int32()), nothing, nothing, pa.array(ids, pa.int64()), pa.array(tables, pa.string()), pa.array(texts, pa.string())], ["g", "name_a", "name_b", "id", "record_table", "text"])
 
 
 def _verify(threshold: float):
     def verify(group: pa.Table, asked: pa.Table) -> pa.Table:
-        """The pairs asked for (rows with id_b) that are copies; the first text of each stands in a row without id_b."""
-        sent = {i: (t, x) for i, b, t, x in zip(*(asked[c].to_pylist() for c in ("id_a", "id_b", "record_table", "text"))) if b is None}
-        own = dict(zip(group["id"].to_pylist(), zip(group["record_table"].to_pylist(), group["text"].to_pylist())))
+        """(id_a, id_b) of the pairs asked for that are copies; the first texts stand in rows without names."""
+        sent, own = _by_name(asked.filter(asked["text"].is_valid())), _by_name(group)
         known: dict[int, frozenset[str]] = {}
         out: list[tuple[int, int]] = []
-        for a, b in sorted((a, b) for a, b in zip(asked["id_a"].to_pylist(), asked["id_b"].to_pylist()) if b is not None):
+        for a, b in sorted((a, b) for a, b in zip(asked["name_a"].to_pylist(), asked["name_b"].to_pylist()) if a is not None):
             if len(known) > 4000:
                 known.clear()
-            for id_, (_, text) in ((a, sent[a]), (b, own[b])):
-                if id_ not in known:
-                    known[id_] = shingles(text)
-            if sent[a][0] == own[b][0] and alike(known[a], known[b], threshold):
-                out.append((a, b))
+            for id_a, table_a, text_a in sent[a]:
+                for id_b, table_b, text_b in own[b]:
+                    if id_a == id_b or table_a != table_b:
+                        continue
+                    for id_, text in ((id_a, text_a), (id_b, text_b)):
+                        if id_ not in known:
+                            known[id_] = shingles(text)
+                    if alike(known[id_a], known[id_b], threshold):
+                        out.append((id_a, id_b))
         return pa.table({"id_a": pa.array([a for a, _ in out], pa.int64()), "id_b": pa.array([b for _, b in out], pa.int64())})
 
     return verify
@@ -316,28 +311,23 @@ def near_copies(records: DataFrame, threshold: float = 0.65, n_anchors: int = AN
     records = records.select("record_table", "key", "text").filter((F.length("text") >= SHINGLE) & F.col("key").isNotNull() & F.col("record_table").isNotNull())
     groups = 1 + (records.agg(F.sum(F.length("text"))).first()[0] or 0) // GROUP_CHARACTERS
     buckets = -(-groups // 2)
-    group_of = lambda id_: F.pmod(id_, F.lit(groups)).cast("int")
+    name_of = lambda code: code.bitwiseAND(F.lit((1 << NAME_BITS) - 1))
+    group_of = lambda name: F.pmod(name, F.lit(groups)).cast("int")
     records = records.withColumn("id", F.xxhash64("record_table", "text"))
-    texts = records.select(group_of(F.col("id")).alias("g"), "id", "record_table", "text").mapInArrow(_distinct_in_partition, "g int, id long, record_table string, text string").repartition("g")
+    texts = records.select(group_of(name_of(F.col("id"))).alias("g"), "id", "record_table", "text").mapInArrow(_distinct_in_partition, "g int, id long, record_table string, text string").repartition("g")
     counts = run_counts(texts, buckets)
-    keys = texts.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_keys(n_anchors, n_segments, buckets), "code long, key long")
-    differing = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    alike_codes = F.bit_count(F.shiftright(F.col("a.code").bitwiseXOR(F.col("b.code")), 32).bitwiseAND(F.lit(0xFFFFFFFF))) <= sketch_limit(threshold, SHORT_SKETCH, 2.3)
-    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.code") < F.col("b.code")) & alike_codes)
-    pairs = met.select(F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b")).distinct()
-    sketch = texts.groupBy("g").applyInArrow(_sketched, "code long, id long, s1 long, s2 long")
-    for x in "ab":
-        pairs = pairs.join(sketch.select(F.col("code").alias(f"code_{x}"), F.col("id").alias(f"id_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")), f"code_{x}")
-    pairs = pairs.filter(differing("s1_a", "s1_b") + differing("s2_a", "s2_b") <= sketch_limit(threshold)).select("id_a", "id_b")
+    keys = texts.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_keys(n_anchors, n_segments, buckets), "code long, key long, sketch long")
+    errors = F.bit_count(F.shiftright(F.col("a.code").bitwiseXOR(F.col("b.code")), NAME_BITS).bitwiseAND(F.lit((1 << 64 - NAME_BITS) - 1))) + F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+    met = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.code") < F.col("b.code")) & (errors <= sketch_limit(threshold)))
+    pairs = met.select(name_of(F.col("a.code")).alias("name_a"), name_of(F.col("b.code")).alias("name_b")).distinct()
     # Each first text goes once to each group that asks for it, and is compared there.
-    wanted = pairs.select(group_of(F.col("id_a")).alias("g"), "id_a", group_of(F.col("id_b")).alias("to")).distinct()
-    row = "g int, id_a long, id_b long, record_table string, text string"
-    sent = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_send, row)
-    asked = sent.unionByName(pairs.select(group_of(F.col("id_b")).alias("g"), "id_a", "id_b"), allowMissingColumns=True)
+    wanted = pairs.select(group_of(F.col("name_a")).alias("g"), "name_a", group_of(F.col("name_b")).alias("to")).distinct()
+    sent = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_send, "g int, name_a long, name_b long, id long, record_table string, text string")
+    asked = sent.unionByName(pairs.select(group_of(F.col("name_b")).alias("g"), "name_a", "name_b"), allowMissingColumns=True)
     links = texts.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_verify(threshold), "id_a long, id_b long")
-    first = records.groupBy("id", "record_table").agg(F.min("key").alias("first_key"))
-    a, b = (first.select(F.col("id").alias(f"id_{x}"), F.col("record_table").alias(f"table_{x}"), F.col("first_key").alias(f"first_{x}")) for x in "ab")
-    named = links.join(a, "id_a").join(b, "id_b").filter("table_a = table_b")
-    between = named.select(F.col("table_a").alias("record_table"), F.least("first_a", "first_b").alias("key_a"), F.greatest("first_a", "first_b").alias("key_b")).filter("key_a < key_b")
-    same = records.select("id", "record_table", "key").distinct().join(first, ["id", "record_table"]).filter("first_key < key").select("record_table", F.col("first_key").alias("key_a"), F.col("key").alias("key_b"))
+    first = records.groupBy("id").agg(F.min(F.struct("key", "record_table")).alias("f"))
+    for x in "ab":
+        links = links.join(first.select(F.col("id").alias(f"id_{x}"), F.col("f").alias(f"f_{x}")), f"id_{x}")
+    between = links.select(F.col("f_a.record_table").alias("record_table"), F.least("f_a.key", "f_b.key").alias("key_a"), F.greatest("f_a.key", "f_b.key").alias("key_b")).filter("key_a < key_b")
+    same = records.select("id", "key").join(first, "id").filter("f.key < key").select("f.record_table", F.col("f.key").alias("key_a"), F.col("key").alias("key_b"))
     return between.unionByName(same).distinct()
