@@ -58,28 +58,13 @@ def x_score_repeated(spark, base):
 
 
 @query("x_term_stats", f"""with c as (select {S.tokens('body')} as toks from ({S.CHUNKS})), n as (select count(*)::double as n from c), t as (select unnest(list_distinct(toks)) as term from c)
-    select term, count(*) as df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from t, n group by term, n having count(*) >= 50""")
+    select term, count(*) as df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from t, n group by term, n""")
 def x_term_stats(spark, base):
     tokens = index.tokenized(chunks(spark, base), F.col("body"))
-    df = token_rows(tokens, "runs", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df")).filter("df >= 50")
+    df = token_rows(tokens, "runs", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     return df.withColumn("n", index.corpus_stats(tokens).select("n").scalar()).select("term", "df", F.round(index.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-def _field(name: str, column: str, qtext: str, most: int, weight: float) -> str:
-    qs = f"select qid, {qtext} as text from (select qid, {S.QUESTION_TEXT} as every from questions)"
-    return f"(with {S.bm25(S.CHUNKS, qs, column, most=most)} select qid, chunk_id, coalesce(score / nullif(max(score) over (partition by qid), 0), 0) * {weight} as part from sc)"
-
-
-@query("x_field_search", f"""with parts as (
-      {_field('base', 'body', 'every', 160, 1.0)} union all {_field('section', 'section', 'every', 32, 0.2)} union all {_field('clause', 'clause_id', 'every', 32, 0.3)}
-    ), t as (select qid, chunk_id, sum(part) as score from parts group by all),
-    r as (select qid, chunk_id, score, row_number() over (partition by qid order by round(score, 6) desc, chunk_id) as rank from t)
-    select qid, chunk_id, rank, round(score, 4) as score from r where rank <= 5""")
-def x_field_search(spark, base):
-    found = index.field_search(chunks(spark, base), question_queries(spark, base), {"base": "body", "section": "section", "clause": "clause_id"}, 5)
-    return found.select("qid", "chunk_id", "rank", F.round("score", 4).alias("score"))
-
-
 def field_chunks(spark: SparkSession, base: str) -> DataFrame:
     """Each chunk once with a text column for each component of the field-aware search, named like it."""
     extra = [F.coalesce(F.col("metadata")[key], F.lit("")).alias(name) for name, key in (("caption", "caption"), ("structured", "extra_index_fields"))]
@@ -89,28 +74,47 @@ def field_chunks(spark: SparkSession, base: str) -> DataFrame:
     return rows.withColumn("base", F.concat_ws(" ", "title", "section", "clause", "text", "tables", "numbers", "dates", "structured"))
 
 
-@query("x_field_search_all")
-def x_field_search_all(spark, base):
+FIELD_CHUNKS = """select chunk_id, doc_id, title, section, clause, numbers, dates, caption, structured, concat_ws(' ', title, section, clause, text, tables, numbers, dates, structured) as base from (
+      select distinct chunk_id, doc_id, coalesce(title, '') as title, coalesce(section, '') as section, coalesce(clause_id, '') as clause, text, coalesce(array_to_string(tables, ' '), '') as tables, coalesce(array_to_string(numbers, ' '), '') as numbers, coalesce(array_to_string(dates, ' '), '') as dates,
+        coalesce(c.metadata['caption'], '') as caption, coalesce(c.metadata['extra_index_fields'], '') as structured from chunks c left join (select doc_id, title from raw_documents) using (doc_id))"""
+
+
+def _field(name: str, asked: str, most: int, weight: float) -> str:
+    """SQL of the weighted part of one component: its score divided by its maximum for the query."""
+    qs = f"select qid, {asked} as text from (select qid, {S.QUESTION_TEXT} as every from questions)"
+    return f"(with {S.bm25(FIELD_CHUNKS, qs, name, most=most)} select qid, chunk_id, coalesce(score / nullif(max(score) over (partition by qid), 0), 0) * {weight} as part from sc)"
+
+
+_NUMBERS = r"array_to_string(regexp_extract_all(every, '([-+]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?\s*(?:%|％|元|万元|亿元|万|亿)?)', 1), ' ')"
+_DATES = r"array_to_string(regexp_extract_all(every, '([0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})', 1), ' ')"
+_PARTS = " union all ".join(_field(*f) for f in (
+    ("base", "every", 160, 1.0), ("title", "every", 32, 0.3), ("section", "every", 32, 0.2), ("clause", "every", 32, 0.3), ("numbers", _NUMBERS, 32, 0.35), ("dates", _DATES, 32, 0.3), ("caption", "every", 32, 0.15), ("structured", "every", 32, 0.55),
+))
+
+
+@query("x_field_search", f"""with t as (select qid, chunk_id, sum(part) as score from ({_PARTS}) group by all), r as (select qid, chunk_id, score, row_number() over (partition by qid order by round(score, 6) desc, chunk_id) as rank from t)
+    select qid, chunk_id, rank, round(score, 4) as score from r where rank <= 5""")
+def x_field_search(spark, base):
     found = index.field_search(field_chunks(spark, base), question_queries(spark, base), {f: f for f in index.FIELD_WEIGHTS}, 5)
     return found.select("qid", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
-DOCUMENTS = """select doc_id, left(string_agg(body, chr(10) order by seq), 24000) as body from (
+DOCUMENTS = """select doc_id, string_agg(body, chr(10) order by seq) as body from (
       select doc_id, body, row_number() over (partition by doc_id order by chunk_id) - 1 as seq from (select distinct chunk_id, doc_id, coalesce(section, '') || ' ' || text as body from chunks)) group by doc_id"""
 
 
 @query("x_document_search", f"""with {S.bm25(DOCUMENTS, 'select qid, question as text from questions', 'body', key='doc_id')},
     r as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rank from sc) select qid, doc_id, rank, round(score, 4) as score from r where rank <= 8""")
 def x_document_search(spark, base):
-    texts = index.document_texts(lookup.with_sequence(chunks(spark, base)), 24_000)
-    found = index.best_scores(index.tokenized(texts, F.col("body"), "doc_id"), questions(spark, base).select("qid", F.col("question").alias("text")), 8, key="doc_id")
+    found = index.document_search(chunks(spark, base), questions(spark, base).select("qid", F.col("question").alias("text")))
     return found.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
-@query("x_document_search_whole", f"""with {S.bm25(DOCUMENTS.replace("left(string_agg(body, chr(10) order by seq), 24000)", "string_agg(body, chr(10) order by seq)"), 'select qid, question as text from questions', 'body', key='doc_id')},
-    r as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rank from sc) select qid, doc_id, rank, round(score, 4) as score from r where rank <= 8""")
-def x_document_search_whole(spark, base):
-    found = index.document_search(chunks(spark, base), questions(spark, base).select("qid", F.col("question").alias("text")))
+@query("x_document_search_domain", f"""with {S.bm25(DOCUMENTS, 'select qid, question as text from questions', 'body', key='doc_id')}, d as (select qid, doc_id from questions join raw_documents using (domain)),
+    r as (select qid, doc_id, score, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rank from sc semi join d using (qid, doc_id)) select qid, doc_id, rank, round(score, 4) as score from r where rank <= 8""")
+def x_document_search_domain(spark, base):
+    scope = questions(spark, base).select("qid", "domain").join(table(spark, base, "raw_documents", "doc_id", "domain"), "domain")
+    found = index.document_search(chunks(spark, base), questions(spark, base).select("qid", F.col("question").alias("text")), domain=scope)
     return found.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
