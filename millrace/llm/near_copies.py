@@ -179,7 +179,7 @@ def sketches(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return own[0] << np.int64(NAME_BITS), own[1] << np.int64(32) | own[2]
 
 
-def sketch_limit(threshold: float, bits: int = SKETCH, deviations: float = 4.5) -> int:
+def sketch_limit(threshold: float, bits: int = SKETCH, deviations: float = 2.6) -> int:
     """Bits in which the sketches of copies at the threshold may differ: so many standard deviations above the mean."""
     p = (1 - threshold) / 2
     return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))

@@ -446,7 +446,8 @@ def _repaired(rows: DataFrame) -> DataFrame:
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "page", "text"), F.lit(n_groups)).cast("int").alias("g"), "doc_id", "page", "text", "title", "whole")
     fitted = dealt.filter("g = 0").groupBy("g").applyInArrow(_fit_group, "feature string, top double, body double, bottom double").collect()  # one row a feature
     weights = {row["feature"]: (row["top"], row["body"], row["bottom"]) for row in fitted} or WEIGHTS
-    dealt = dealt.repartition("g")
+    # A stated number of partitions: the work is in Python, so small partitions mustn't be joined to few tasks by their bytes.
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
     answers = collection_totals(dealt, _listed, -(-n_groups // 2), LEAST_COUNT)
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_repair(weights), REPAIRED)
 
