@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import char_ngrams, dates, jaccard, numbers, plain_year, present, without_space
+from millrace.functions.text import char_ngrams, dates, jaccard, numbers, present, without_space
 
 # Phrases and markers of question stems and claims.
 INCORRECT = "不正确的?是|不准确的?是|错误的?是|不符合(?:的是|下列)|不属于(?:的是|下列)|不包括(?:的是|下列)|说法不正确|不成立"
@@ -42,19 +42,6 @@ def rule_queries(questions: DataFrame, most: int = 8) -> DataFrame:
     return questions.select("qid", F.posexplode(F.slice(F.array_distinct(F.transform(made, lambda x: F.trim(x))), 1, most)).alias("list_id", "text")).filter("text <> ''")
 
 
-def claim_type(text: Column) -> Column:
-    """comparison, clause, metric, date or fact, in this order."""
-    return (
-        F.when(any_of(text, COMPARISON_MARKERS), "comparison").when(text.rlike("第[一二三四五六七八九十百0-9]+条"), "clause")
-        .when(F.size(F.filter(numbers(text), lambda x: ~plain_year(x))) > 0, "metric").when(F.size(dates(text)) > 0, "date").otherwise("fact")
-    )
-
-
-def claim_targets(questions: DataFrame) -> DataFrame:
-    """(qid, option, text, claim_type, numbers, dates) of each option."""
-    return options_of(questions).select("qid", "option", "text", claim_type(F.col("text")).alias("claim_type"), numbers(F.col("text")).alias("numbers"), dates(F.col("text")).alias("dates"))
-
-
 def envelope(questions: DataFrame) -> DataFrame:
     """What a stem asks for: (qid, selection_rule, scope_markers, requires_all_documents, requires_comparison, requires_compound)."""
     text = without_space(F.col("question"))

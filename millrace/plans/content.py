@@ -143,13 +143,6 @@ def q_rule_queries(spark, base):
     return evidence.rule_queries(table(spark, base, "questions")).withColumn("list_id", F.col("list_id").cast("long"))
 
 
-@query("q_claim_targets", f"""select qid, option, claim_type, array_to_string(n, '|') as numbers, array_to_string(d, '|') as dates from (select *, case when regexp_matches(text, '高于|低于|超过|不超过|多于|少于|差额|相比') then 'comparison' when regexp_matches(text, '第[一二三四五六七八九十百0-9]+条') then 'clause' when len(list_filter(n, lambda x: not regexp_matches(x, '^(?:19|20)[0-9]{{2}}年?$'))) > 0 then 'metric' when len(d) > 0 then 'date' else 'fact' end as claim_type from (
-    select qid, e.key as option, e.value as text, list_transform(regexp_extract_all(e.value, '({NUM})', 1), lambda x: trim(x)) as n, regexp_extract_all(e.value, '({DATE})', 1) as d from (select qid, unnest(map_entries(options)) as e from questions)))""")
-def q_claim_targets(spark, base):
-    t = evidence.claim_targets(table(spark, base, "questions"))
-    return t.select("qid", "option", "claim_type", joined("numbers").alias("numbers"), joined("dates").alias("dates"))
-
-
 _STEM = "regexp_replace(question, '\\s+', '', 'g')"
 _MARKS = "list_filter([" + ",".join(f"'{m}'" for m in evidence.SCOPE_MARKERS) + f"], lambda m: contains({_STEM}, m))"
 

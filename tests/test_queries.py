@@ -2,6 +2,7 @@
 
 import pytest
 
+import millrace.plans.asking  # noqa: F401
 import millrace.plans.content  # noqa: F401
 import millrace.plans.problems  # noqa: F401
 import millrace.plans.retrieval  # noqa: F401
