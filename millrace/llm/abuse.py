@@ -204,7 +204,8 @@ def _score(model):
                             best[k] = max(best[k], gain)
                 for k in CATEGORIES:
                     out[k].append(best[k] / thresholds[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], pa.float64()) for k in CATEGORIES]], ["doc_id", *CATEGORIES])
+            kept = range(2, batch.num_columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], pa.float64()) for k in CATEGORIES], *[batch.column(i) for i in kept]], ["doc_id", *CATEGORIES, *[batch.schema.names[i] for i in kept]])
 
     return score
 
@@ -227,14 +228,16 @@ def background_rows(documents: DataFrame, most: int = BACKGROUND_DOCUMENTS) -> l
     return sorted((row["doc_id"], row["text"]) for row in chosen.toLocalIterator())
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, background: int = BACKGROUND_DOCUMENTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, abuse, hate, sexual) of every document: its best window's gain for the category in units of the threshold.
 
     1 or more means the category was found. Null and empty texts score 0. Without labels of a category nothing reaches its
-    threshold. Repeated rows are scored again.
+    threshold. Repeated rows are scored again. The columns of ``documents`` named by ``carry`` go along.
     """
-    model = documents.sparkSession.sparkContext.broadcast(train(training_rows(documents, labels, most), background_rows(documents)))
-    return documents.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, abuse double, hate double, sexual double")
+    model = documents.sparkSession.sparkContext.broadcast(train(training_rows(documents, labels, most), background_rows(documents, background)))
+    rows = documents.select("doc_id", "text", *carry)
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(_score(model), "doc_id long, abuse double, hate double, sexual double" + kinds)
 
 
 def found_categories(scores: DataFrame) -> DataFrame:
@@ -242,7 +245,11 @@ def found_categories(scores: DataFrame) -> DataFrame:
     return scores.select("doc_id", F.explode(F.array(*[F.when(F.col(k) >= 1, F.lit(k)) for k in CATEGORIES])).alias("category")).filter("category is not null").distinct()
 
 
-def source_rates(documents: DataFrame, scores: DataFrame) -> DataFrame:
-    """(source, n_documents, abuse_rate, hate_rate, sexual_rate); a null source is a source of its own."""
+def source_rates(scores: DataFrame) -> DataFrame:
+    """(source, n_documents, abuse_rate, hate_rate, sexual_rate) of scores that carry their source; a null source is a source of its own.
+
+    A repeated row of a document counts once, also where its source is repeated with it.
+    """
+    once = scores.groupBy("doc_id", "source").agg(*[F.max(k).alias(k) for k in CATEGORIES])
     rates = [F.avg((F.col(k) >= 1).cast("double")).alias(f"{k}_rate") for k in CATEGORIES]
-    return documents.select("doc_id", "source").join(scores, "doc_id").groupBy("source").agg(F.count("*").alias("n_documents"), *rates)
+    return once.groupBy("source").agg(F.count("*").alias("n_documents"), *rates)

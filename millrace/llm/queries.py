@@ -165,7 +165,7 @@ def p4_repaired(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _abuse(spark: SparkSession, base: str) -> DataFrame:
-    return score_documents(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "review_labels"))
+    return score_documents(table(spark, base, "documents", "doc_id", "text", "source"), table(spark, base, "review_labels"), carry=("source",))
 
 
 @query("p10_found")
@@ -175,7 +175,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 @query("p10_rates")
 def p10_rates(spark: SparkSession, base: str) -> DataFrame:
-    return source_rates(table(spark, base, "documents", "doc_id", "source"), _abuse(spark, base))
+    return source_rates(_abuse(spark, base))
 
 
 def _cleaned(spark: SparkSession, base: str) -> DataFrame:
