@@ -6,9 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_sequence(chunks: DataFrame, order: str = "chunk_id") -> DataFrame:
-    """Adds ``seq``, the position of a chunk in its document (from 0)."""
-    return chunks.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1)
+SPAN = 200_000  # chunks between two cuts of a long document
+
+
+def with_sequence(chunks: DataFrame, order: str = "chunk_id", span: int = SPAN) -> DataFrame:
+    """Adds ``seq``, the position of a chunk in its document (from 0) by ``order``, which is distinct within a document.
+
+    A document of any length is numbered in spans of about ``span`` chunks: about one chunk in so many, drawn by the hash of its
+    key, is a cut; spans are numbered each on its own and shifted by the sizes of those before. No task holds more than a span.
+    """
+    cuts = chunks.filter(F.pmod(F.xxhash64(order), F.lit(span)) == 0).groupBy("doc_id").agg(F.sort_array(F.collect_set(order)).alias("_cuts"))
+    placed = chunks.join(cuts, "doc_id", "left").withColumn("_span", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))).drop("_cuts")
+    own = F.row_number().over(Window.partitionBy("doc_id", "_span").orderBy(order))
+    sizes = placed.groupBy("doc_id", "_span").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("doc_id", "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.withColumn("_own", own).join(offsets, ["doc_id", "_span"]).withColumn("seq", (F.col("_own") + F.col("_before") - 1).cast("int")).drop("_span", "_own", "_before")
 
 
 def neighbours(anchors: DataFrame, chunks: DataFrame, left: int = 1, right: int = 1) -> DataFrame:

@@ -33,13 +33,13 @@ def summarize_metrics(rows: DataFrame, variant: str, domain: str) -> DataFrame:
     return grouped.agg(F.grouping("d").alias("g"), F.count("*").alias("n"), *measures).select(variant, F.when(F.col("g") == 1, "ALL").otherwise(F.col("d")).alias("domain"), "n", "hit_1", "hit_3", "hit_5", "hit_10", "all_gold", "recall", "mrr")
 
 
-def probe_ranks(hits: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """(qid, all_terms_rank, any_term_rank, coverage_rank): first hit with all, with any, and the shortest prefix with each of the terms."""
+def probe_ranks(hits: DataFrame, terms: list[str], keys: tuple[str, ...] = ("qid",), text: str = "text") -> DataFrame:
+    """(keys, all_terms_rank, any_term_rank, coverage_rank): first hit with all, with any, and the shortest prefix with each of the terms."""
     has = [F.contains(F.col(text), F.lit(t)) for t in terms]
     each = [F.min(F.when(h, F.col("rank"))) for h in has]
     whole = reduce(lambda a, b: F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(F.greatest(a, b)), each)
     every, some = reduce(lambda a, b: a & b, has), reduce(lambda a, b: a | b, has)
-    return hits.groupBy("qid").agg(F.min(F.when(every, F.col("rank"))).alias("all_terms_rank"), F.min(F.when(some, F.col("rank"))).alias("any_term_rank"), whole.alias("coverage_rank"))
+    return hits.groupBy(*keys).agg(F.min(F.when(every, F.col("rank"))).alias("all_terms_rank"), F.min(F.when(some, F.col("rank"))).alias("any_term_rank"), whole.alias("coverage_rank"))
 
 
 def token_score(tokens: Column, budget: int = TOKEN_BUDGET) -> Column:

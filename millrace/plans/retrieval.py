@@ -118,21 +118,6 @@ def x_document_search_domain(spark, base):
     return found.select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
-NODES = f"select doc_id || '#' || coalesce('p' || page, 's' || nullif(section, ''), 'w') as node, string_agg(body, ' ' order by chunk_id) as body from ({S.CHUNKS}) group by 1"
-
-
-@query("x_navigator", f"""with {S.bm25(NODES, 'select qid, question as text from questions', 'body', key='node', most=96)},
-    r as (select qid, node, split_part(node, '#', 1) as doc_id, score, row_number() over (partition by qid, split_part(node, '#', 1) order by round(score, 6) desc, node) as rank from sc)
-    select qid, count(*) as n_nodes, count(distinct doc_id) as n_docs, round(max(score), 4) as best from r where rank <= 3 group by qid""")
-def x_navigator(spark, base):
-    label = F.coalesce(F.concat(F.lit("p"), F.col("page")), F.concat(F.lit("s"), F.nullif("section", F.lit(""))), F.lit("w"))
-    parts = chunks(spark, base).select(F.concat_ws("#", "doc_id", label).alias("node"), "chunk_id", "body")
-    nodes = parts.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "body"))), lambda x: x["body"]), " ").alias("body"))
-    found = index.score(index.tokenized(nodes, F.col("body"), "node"), questions(spark, base).select("qid", F.col("question").alias("text")), index.MOST_NODE_TERMS, key="node")
-    best = index.top_k(found.withColumn("doc_id", F.substring_index("node", "#", 1)), 3, ["qid", "doc_id"], "node")
-    return best.groupBy("qid").agg(F.count("*").alias("n_nodes"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.max("score"), 4).alias("best"))
-
-
 # Ranked lists that need no search: every claim ranks the chunks of its documents by how many of its numbers they have.
 def claim_lists(spark: SparkSession, base: str) -> DataFrame:
     claims = table(spark, base, "claim_records", "qid", "option", "numbers", "doc_ids").dropDuplicates(["qid", "option"])
@@ -222,22 +207,24 @@ def r_best_wins(spark, base):
 SEQ = "s as (select doc_id, chunk_id, page, section, clause_id, row_number() over (partition by doc_id order by chunk_id) - 1 as seq from (select distinct doc_id, chunk_id, page, section, clause_id from chunks))"
 
 
-@query("j_neighbours", f"with {SEQ}, a as (select * from s where chunk_id like '%7') select a.chunk_id as anchor_id, b.chunk_id, b.seq - a.seq as distance from a join s b on a.doc_id = b.doc_id and b.seq between a.seq - 1 and a.seq + 2")
-def j_neighbours(spark, base):
-    every = lookup.with_sequence(chunks(spark, base))
-    return lookup.neighbours(every.filter("chunk_id like '%7'"), every, 1, 2)
+FIFTIETH = "regexp_extract(chunk_id, '([0-9]+)$', 1)::bigint % 50 = 0"
+
 
+def every_fiftieth(every):
+    """The anchors: every chunk whose number is divisible by 50."""
+    return every.filter(F.regexp_extract("chunk_id", "([0-9]+)$", 1).cast("long") % 50 == 0)
 
-@query("j_same_page", "with c as (select distinct doc_id, chunk_id, page from chunks where page is not null) select doc_id, page, count(*) as n_chunks, count(*) * (count(*) - 1) as n_pairs from c group by all")
+
+@query("j_same_page", f"with c as (select distinct doc_id, chunk_id, page from chunks where page is not null), a as (select * from c where {FIFTIETH}) select a.chunk_id as anchor_id, c.chunk_id from a join c using (doc_id, page) where a.chunk_id <> c.chunk_id")
 def j_same_page(spark, base):
-    placed = chunks(spark, base).filter("page is not null").groupBy("doc_id", "page").agg(F.count("*").alias("n_chunks"))
-    return placed.withColumn("n_pairs", F.col("n_chunks") * (F.col("n_chunks") - 1))
+    every = chunks(spark, base)
+    return lookup.same_place(every_fiftieth(every), every, "page")
 
 
-@query("j_same_section", "with c as (select distinct doc_id, chunk_id, section from chunks where section <> ''), a as (select * from c where chunk_id like '%3') select a.chunk_id as anchor_id, c.chunk_id from a join c using (doc_id, section) where a.chunk_id <> c.chunk_id")
+@query("j_same_section", f"with c as (select distinct doc_id, chunk_id, section from chunks where section <> ''), a as (select * from c where {FIFTIETH}) select a.chunk_id as anchor_id, c.chunk_id from a join c using (doc_id, section) where a.chunk_id <> c.chunk_id")
 def j_same_section(spark, base):
     every = chunks(spark, base)
-    return lookup.same_place(every.filter("chunk_id like '%3'"), every, "section")
+    return lookup.same_place(every_fiftieth(every), every, "section")
 
 
 @query("j_same_clause", "with c as (select distinct doc_id, chunk_id, clause_id from chunks where clause_id <> '') select a.chunk_id as anchor_id, b.chunk_id from c a join c b using (doc_id, clause_id) where a.chunk_id <> b.chunk_id")
@@ -286,12 +273,12 @@ def a_retrieval_metrics(spark, base):
     return metrics.summarize_metrics(rows.join(questions(spark, base).select("qid", "domain", "answer_format"), "qid"), "answer_format", "domain")
 
 
-@query("a_probe_ranks", f"""with {LISTS}, t as (select chunk_id, any_value(text) as text from chunks group by 1), h as (select qid, rank, text from l join t using (chunk_id) where list_id = 'A'),
-    m as (select qid, min(case when contains(text, '余额') and contains(text, '占') then rank end) as all_terms_rank, min(case when contains(text, '余额') or contains(text, '占') then rank end) as any_term_rank, min(case when contains(text, '余额') then rank end) as a, min(case when contains(text, '占') then rank end) as b from h group by qid)
-    select qid, all_terms_rank, any_term_rank, case when a is null or b is null then null else greatest(a, b) end as coverage_rank from m""")
+@query("a_probe_ranks", f"""with {LISTS}, t as (select chunk_id, any_value(text) as text from chunks group by 1), h as (select qid, list_id, rank, text from l join t using (chunk_id) ),
+    m as (select qid, list_id, min(case when contains(text, '余额') and contains(text, '占') then rank end) as all_terms_rank, min(case when contains(text, '余额') or contains(text, '占') then rank end) as any_term_rank, min(case when contains(text, '余额') then rank end) as a, min(case when contains(text, '占') then rank end) as b from h group by qid, list_id)
+    select qid, list_id, all_terms_rank, any_term_rank, case when a is null or b is null then null else greatest(a, b) end as coverage_rank from m""")
 def a_probe_ranks(spark, base):
     texts = table(spark, base, "chunks", "chunk_id", "text").dropDuplicates(["chunk_id"])
-    return metrics.probe_ranks(claim_lists(spark, base).filter("list_id = 'A'").join(texts, "chunk_id"), ["余额", "占"])
+    return metrics.probe_ranks(claim_lists(spark, base).join(texts, "chunk_id"), ["余额", "占"], ("qid", "list_id"))
 
 
 @query("t_tokens", f"select chunk_id, len(t) as n_tokens, len(list_distinct(t)) as n_terms, md5(array_to_string(t, ' ')) as tokens_md5 from (select distinct chunk_id, {S.tokens('text')} as t from chunks)")

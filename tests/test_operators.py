@@ -193,3 +193,9 @@ def test_stream_append(spark, tmp_path):
     spark.createDataFrame([("b", 7), ("c", 1)], rows.schema).write.mode("append").parquet(source)
     incremental.append_stream(spark, spark.readStream.schema(rows.schema).parquet(source), target, "k", "seq", str(tmp_path / "check")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_positions_in_a_document_of_several_spans(spark):
+    rows = [("hot", f"c{i:04}") for i in range(500)] + [("d", "c0"), ("d", "c1")]
+    got = {(r["doc_id"], r["chunk_id"]): r["seq"] for r in lookup.with_sequence(spark.createDataFrame(rows, "doc_id string, chunk_id string"), span=20).collect()}
+    assert got == {**{("hot", f"c{i:04}"): i for i in range(500)}, ("d", "c0"): 0, ("d", "c1"): 1}
