@@ -55,7 +55,7 @@ def test_held_out_accuracy(spark):
     assert sum(i in found for i, y in held_out if y) >= 0.95 * sum(y for _, y in held_out)
     assert sum(i in found for i, y in held_out if not y) <= 0.02 * len(held_out)
     assert not found & {5000, 5001, 5002}
-    rates = {r["source"]: r for r in abuse.source_rates(docs, scores).collect()}
+    rates = {r["source"]: r for r in abuse.source_rates(abuse.score_documents(docs, judged, carry=("source",))).collect()}
     assert rates[None]["n_documents"] == 1 and 0.2 < rates["s"]["abuse_rate"] < 0.4
 
 
