@@ -71,9 +71,9 @@ def within_budget_stop(rows: DataFrame, partition: list[str], order: str, size:
 
 
 def within_budget_skip(rows: DataFrame, partition: list[str], order: str, key: str, size: Column, budget: int, most: int) -> DataFrame:
-    """(partition, key): rows taken in order, each that would go over the budget skipped; the first row always stays.
+    """(partition, place, key): rows taken in order, each that would go over the budget skipped; the first row always stays.
 
-    A fold over the ordered rows of a partition, of which only the first ``most`` + 100 can matter to lists of this kind.
+    A fold over the ordered rows of a partition. A partition is one query's ranked list, whose length its search bounds.
     """
     listed = rows.groupBy(*partition).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("key"), size.cast("long").alias("size")))).alias("items"))
     start = F.struct(F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>").alias("taken"), F.lit(0).cast("long").alias("used"))
@@ -85,6 +85,16 @@ def within_budget_skip(rows: DataFrame, partition: list[str], order: str, key: s
     return listed.select(*partition, F.posexplode(F.aggregate("items", start, step)["taken"]).alias("place", key))
 
 
+def compressed(scored: DataFrame, scope: DataFrame, budget: int, most: int) -> DataFrame:
+    """(qid, place, chunk_id): by ``rule_score`` within a budget of characters; where a question names several documents (``scope``
+    has qid, doc_ids), the best candidate of each comes first. Candidates have qid, chunk_id, doc_id, rank, text."""
+    rows = scored.join(scope, "qid").withColumn("at", F.array_position(F.coalesce("doc_ids", F.array().cast("array<string>")), F.col("doc_id")))
+    best = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("rule_score"), "rank"))
+    rows = rows.withColumn("best", best).withColumn("named", (F.size(F.array_distinct("doc_ids")) > 1) & (F.col("at") > 0) & (F.col("best") == 1))
+    order = Window.partitionBy("qid").orderBy(F.when(F.col("named"), F.col("at")).otherwise(F.lit(2**31)), F.desc("rule_score"), "rank")
+    return within_budget_skip(rows.withColumn("turn", F.row_number().over(order)), ["qid"], "turn", "chunk_id", F.length(F.trim("text")), budget, most)
+
+
 def cover_documents_first(rows: DataFrame, partition: str, k: int, score: str = "score", tie: str = "chunk_id") -> DataFrame:
     """k rows of each partition: the best of each document before any second one."""
     inner = F.row_number().over(Window.partitionBy(partition, "doc_id").orderBy(F.desc(score), tie))

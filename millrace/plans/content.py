@@ -235,18 +235,6 @@ def a_usage(spark, base):
     return used.withColumn("token_score", F.round(metrics.token_score(F.col("prompt_tokens")), 6))
 
 
-@query("n_ledger", """with f as (select distinct fact_id, raw_value, unit from numeric_facts), p as (select fact_id, unit, try_cast(regexp_replace(regexp_extract(raw_value, '([0-9][0-9,，]*(?:\\.[0-9]+)?)', 1), '[,，]', '', 'g') as decimal(28,6)) as v, case when regexp_matches(raw_value, '^\\s*-|^\\s*[(（].*[)）]\\s*$') then -1 else 1 end as sign from f)
-    select fact_id, round((sign * v * case unit when '元' then 1 when '千元' then 1000 when '百万元' then 1000000 when '万元' then 10000 when '亿元' then 100000000 when '%' then 0.01 when '％' then 0.01 when '倍' then 1 end)::double, 4) as value, case when unit in ('%', '％', 'percent', '‰', '百分之', '千分之') then 'ratio' when unit = '倍' then 'multiple' when contains(unit, '/股') then 'per_share' else 'money' end as family from p""")
-def n_ledger(spark, base):
-    f = table(spark, base, "numeric_facts", "fact_id", "raw_value", "unit").distinct()
-    return f.select("fact_id", F.round(facts.ledger_value(F.col("raw_value"), F.col("unit")).cast("double"), 4).alias("value"), facts.unit_family(F.col("unit")).alias("family"))
-
-
-@query("n_scope", "select distinct chunk_id, case when regexp_matches(text, '第[一二三四1-4]季度|单季') then 'quarter' when regexp_matches(text, '分部|板块|业务') then 'segment' when contains(text, '母公司') then 'parent' when contains(text, '合并') then 'consolidated' else 'unknown' end as scope from chunks")
-def n_scope(spark, base):
-    return table(spark, base, "chunks", "chunk_id", "text").distinct().select("chunk_id", facts.scope_of(F.col("text")).alias("scope"))
-
-
 def _usable(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "numeric_facts", "fact_id", "doc_id", "metric", "year", "scope", "quality_score", "normalized_value").distinct()
     return rows.withColumn("base_value", F.col("normalized_value").try_cast("double"))

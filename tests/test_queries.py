@@ -4,8 +4,10 @@ import pytest
 
 import millrace.plans.asking  # noqa: F401
 import millrace.plans.content  # noqa: F401
+import millrace.plans.financial  # noqa: F401
 import millrace.plans.navigator  # noqa: F401
 import millrace.plans.problems  # noqa: F401
+import millrace.plans.rerank  # noqa: F401
 import millrace.plans.retrieval  # noqa: F401
 from comparing import SMALL, check, database
 from millrace.plans.registry import QUERIES, SQL
