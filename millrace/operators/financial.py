@@ -76,9 +76,9 @@ def metric_rows(texts: DataFrame, key: str, text: str = "text", most: int = 48,
     rows = rows.withColumn("r0", F.when(end_mark > 0, F.substring("line", F.lit(1), F.col("m.end") + end_mark - 1)).otherwise(F.col("line")))
     behind = lambda r: F.substring(r, F.col("m.end"), F.length(r))
     rows = rows.withColumn("v0", values_of(behind(F.col("r0"))))
-    go1 = (F.size("v0") == 0) & F.col("n1").isNotNull() & metric_of(F.col("n1")).isNull()
+    go1 = (F.size("v0") == 0) & F.col("n1").isNotNull() & ~F.col("n1").rlike(states)
     rows = rows.withColumn("r1", F.when(go1, F.concat_ws(" ", "r0", "n1"))).withColumn("v1", values_of(behind(F.col("r1"))))
-    go2 = F.col("r1").isNotNull() & (F.size("v1") == 0) & F.col("n2").isNotNull() & metric_of(F.col("n2")).isNull()
+    go2 = F.col("r1").isNotNull() & (F.size("v1") == 0) & F.col("n2").isNotNull() & ~F.col("n2").rlike(states)
     rows = rows.withColumn("r2", F.when(go2, F.concat_ws(" ", "r1", "n2"))).withColumn("v2", values_of(behind(F.col("r2"))))
     rows = rows.withColumn("raw_row", F.coalesce("r2", "r1", "r0")).withColumn("values", F.when(F.size("v0") > 0, F.col("v0")).when(F.size("v1") > 0, F.col("v1")).otherwise(F.coalesce("v2", "v0"))).filter(F.size("values") > 0)
     labels = lambda x: F.regexp_extract_all(x, F.lit(LABEL), F.lit(0))

@@ -123,6 +123,20 @@ def test_claim_conflicts(spark):
     assert [(r["left_key"], r["right_key"]) for r in got] == [("q1/A", "q2/B")]
 
 
+def test_claim_conflicts_by_every_condition(spark):
+    text = "甲公司二零二三年度现金分红比例高于百分之三十"
+    base = {"qid": "q1", "option": "A", "domain": "x", "text": text, "normalized_text": text, "selected": True, "doc_ids": ["d", "e"], "source_doc_ids": ["d"], "source_scoped": False, "numbers": ["30%"], "qualifiers": ["higher"]}
+    others = [
+        ({"normalized_text": text + "左右"}, True), ({"qid": "q1"}, False), ({"domain": "y"}, False), ({"selected": True}, False), ({"source_doc_ids": ["z"]}, False), ({"doc_ids": ["d"]}, False), ({"doc_ids": ["d"], "source_scoped": True}, False),
+        ({"numbers": ["31%"]}, False), ({"numbers": []}, True), ({"qualifiers": ["lower"]}, False), ({"normalized_text": "乙公司停业整顿通知书全文"}, False), ({"normalized_text": "短"}, False), ({"text": "两家" + text, "source_doc_ids": ["d", "e"]}, False), ({"doc_ids": None, "source_doc_ids": None, "numbers": None}, False),
+    ]
+    rows = [base] + [{**base, "qid": f"r{i}", "selected": False, **change} for i, (change, _) in enumerate(others)]
+    frame = spark.createDataFrame(rows, "qid string, option string, domain string, text string, normalized_text string, selected boolean, doc_ids array<string>, source_doc_ids array<string>, source_scoped boolean, numbers array<string>, qualifiers array<string>")
+    got = {r["right_key"] for r in evidence.claim_conflicts(frame.unionByName(frame)).collect() if r["left_key"] == "q1/A"}
+    assert got == {f"r{i}/A" for i, (_, met) in enumerate(others) if met}
+    assert evidence.claim_conflicts(frame.limit(0)).count() == 0
+
+
 def test_greedy_selection(spark):
     rows = [("q", "a", "d1", 3.0, ["x", "y"], "甲乙丙丁"), ("q", "b", "d1", 2.9, ["x"], "甲乙丙丁"), ("q", "c", "d2", 1.0, ["z"], "戊己庚辛"), ("q", "e", "d1", 0.5, None, None)]
     cand = spark.createDataFrame(rows, "qid string, chunk_id string, doc_id string, score double, slots array<string>, text string")
