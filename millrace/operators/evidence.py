@@ -152,29 +152,69 @@ def assemble_answers(verdicts: DataFrame) -> DataFrame:
     return chosen.select("qid", F.when(F.col("answer_format") == "multi", F.col("multi")).otherwise(F.coalesce("single", F.lit(""))).alias("answer"))
 
 
+# Hints of consequences and metric blocks, values, and the weights of the selection.
+CONSEQUENCES = "处罚|罚款|扣减|减分|责令|不得|应当|期限|赔付|免责"
+METRIC_BLOCK = "营业收入|净利润|现金流|分红|每股|资产负债率|保费|赔付"
+MENTION = "(?<![A-Za-z0-9])[-+]?[0-9][0-9,，]*(?:\\.[0-9]+)?\\s*(?:%|％|元|千元|万元|亿元|万|亿|倍)?"
+REQUIRED, OPTIONAL, SCORE, NEW_DOCUMENT, NOVELTY, LENGTH = 2.2, 0.25, 0.55, 0.8, 0.45, 0.45
+
+
+def mentions(text: Column) -> Column:
+    """Numbers of a text with their units, plain years left out."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), lambda v: F.trim(v))
+    return F.filter(found, lambda v: ~F.regexp_replace(v, "\\s+", "").rlike("^(?:19|20)[0-9]{2}年?$"))
+
+
+def covered_slots(candidates: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds ``slots`` that a candidate covers of its target, and its ``bonus`` of structure.
+
+    Candidates have qid, doc_id, text, clause_id, chunk_type, tables (array); ``targets`` qid, must_terms, numbers, dates, intent.
+    """
+    own = targets.select("qid", F.slice("must_terms", 1, 8).alias("_t"), F.slice("numbers", 1, 4).alias("_n"), F.slice("dates", 1, 4).alias("_d"), F.col("intent").alias("_i"))
+    rows = candidates.join(own, "qid").withColumn("_x", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+", " "))).withColumn("_m", mentions(F.col("_x")))
+    text, counted = F.col("_x"), F.col("_i").isin("number", "comparison")
+    met = lambda tag, items: F.transform(F.filter(items, lambda v: (v != "") & F.contains(text, v)), lambda v: F.concat(F.lit(tag), v))
+    fact = lambda when, name: F.when(when, F.array(F.lit("fact:" + name))).otherwise(F.array().cast("array<string>"))
+    block = F.coalesce(F.col("chunk_type").isin("table", "figure"), F.lit(False))
+    slots = F.concat(
+        F.array(F.concat(F.lit("doc:"), "doc_id")), met("term:", "_t"), met("number:", "_n"), met("date:", "_d"), fact(F.size("_m") > 0, "numeric_value"), fact((F.col("_i") == "comparison") & (F.size(F.array_distinct("_m")) >= 2), "comparison_endpoints"),
+        fact(text.rlike(CONSEQUENCES), "consequence"), fact(text.rlike(METRIC_BLOCK), "metric_block"), fact(block | (F.coalesce(F.size("tables"), F.lit(0)) > 0), "structured_block"),
+    )
+    bonus = F.when(F.col("clause_id") != "", 0.2).otherwise(0.0) + F.when(counted & (block | text.rlike(METRIC_BLOCK)), 0.3).otherwise(0.0) + F.when(text.rlike(CONSEQUENCES), 0.2).otherwise(0.0)
+    return rows.withColumn("slots", F.array_distinct(slots)).withColumn("bonus", F.round(bonus, 2)).drop("_t", "_n", "_d", "_i", "_x", "_m")
+
+
 def _select(k: int, most: int, by: list[str]):
     def select(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "chunk_id"], ascending=[False, True], ignore_index=True)
-        rest, taken, covered, docs, used = list(range(len(group))), [], set(), set(), 0
-        grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in group["text"].fillna("")]
-        top = max(group["score"].max(), 1e-9) if len(group) else 1.0
-        while rest and len(taken) < k:
-            best, gain = None, 0.0
-            for i in rest:
-                if taken and used + len(group["text"][i] or "") > most:
-                    continue
-                new = len(set(group["slots"][i] if group["slots"][i] is not None else []) - covered)
-                like = max((len(grams[i] & grams[j]) / (len(grams[i] | grams[j]) or 1) for j in taken), default=0.0)
-                value = 2.2 * new + 0.55 * group["score"][i] / top + 0.8 * (group["doc_id"][i] not in docs) + 0.45 * (1 - like)
-                if value > gain:
-                    best, gain = i, value
-            if best is None:
-                break
-            rest.remove(best)
-            taken.append(best)
-            covered |= set(group["slots"][best] if group["slots"][best] is not None else [])
-            docs.add(group["doc_id"][best])
-            used += len(group["text"][best] or "")
+        texts = [" ".join((t or "").split()) for t in group["text"]]
+        bare = ["".join(t.split()) for t in texts]
+        grams = [{t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set() for t in bare]
+        slots = [set() if s is None else set(s) for s in group["slots"]]
+        required = [set() if r is None else set(r) for r in group["required"]]
+        top = max(group["score"].abs().max(), 1e-9) if len(group) else 1.0
+        taken: list[int] = []
+        covered, docs, used = set(), set(), 0
+
+        def fits(i: int) -> bool:
+            return bool(texts[i]) and (not taken or used + len(texts[i]) <= most)
+
+        def gain(i: int) -> float:
+            new = slots[i] - covered
+            need = new & required[i] if required[i] else new  # without required slots every slot is one
+            like = max((len(grams[i] & grams[j]) / max(1, len(grams[i] | grams[j])) for j in taken), default=0.0)
+            return REQUIRED * len(need) + OPTIONAL * len(new - need) + SCORE * group["score"][i] / top + NEW_DOCUMENT * (group["doc_id"][i] not in docs) + NOVELTY * (1 - like) + group["bonus"][i] - min(LENGTH, len(texts[i]) / max(1, most) * LENGTH)
+
+        for pinned in (True, False):
+            while len(taken) < k:
+                rest = [i for i in range(len(group)) if i not in taken and fits(i) and (not pinned or group["pinned"][i])]
+                if not rest:
+                    break
+                best = rest[0] if pinned else max(rest, key=lambda i: (gain(i), -i))
+                taken.append(best)
+                covered |= slots[best]
+                docs.add(group["doc_id"][best])
+                used += len(texts[best])
         out = group.iloc[taken][[*by, "chunk_id"]].copy()
         out["place"] = range(1, len(taken) + 1)
         return out
@@ -183,11 +223,14 @@ def _select(k: int, most: int, by: list[str]):
 
 
 def select_evidence(candidates: DataFrame, k: int = 8, most: int = 6000, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """Greedy choice by what each candidate adds: uncovered slots, score, a new document, new text; within k and ``most`` characters.
+    """Greedy choice by what each candidate adds: uncovered slots, required ones first, score, a new document, new text, its bonus,
+    less for length; within k and ``most`` characters. Pinned candidates come before all others.
 
-    ``candidates`` has the columns of ``by``, chunk_id, doc_id, score, slots (array of strings) and text. The candidates of one
-    key are a ranked list of bounded length, which is why a key fits a task.
+    ``candidates`` has the columns of ``by``, chunk_id, doc_id, score, slots (array of strings) and text, and may have required (the
+    slots that count most; all where it is missing or empty), bonus and pinned. Empty texts are never chosen, the first choice always
+    fits, ties go to the higher score and the smaller chunk_id. The candidates of one key are a ranked list of bounded length.
     """
+    for column, default in (("required", F.array().cast("array<string>")), ("bonus", F.lit(0.0)), ("pinned", F.lit(False))):
+        candidates = candidates if column in candidates.columns else candidates.withColumn(column, default)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*by, "chunk_id").schema)
-    return candidates.select(*by, "chunk_id", "doc_id", "score", "slots", "text").groupBy(*by).applyInPandas(_select(k, most, list(by)), f"{fields}, place long")
-
+    return candidates.select(*by, "chunk_id", "doc_id", "score", "slots", "required", "text", "bonus", "pinned").groupBy(*by).applyInPandas(_select(k, most, list(by)), f"{fields}, place long")

@@ -132,3 +132,32 @@ def r_verification_scores(spark, base):
 def r_verification_evidence(spark, base):
     scored, claims = verified(spark, base)
     return ranking.within_budget_skip(rerank.verification_order(scored, claims), ["qid", "option"], "turn", "chunk_id", F.col("n_chars"), 900, 4)
+
+
+_X = rf"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+# A digit behind a letter or digit starts no number: letter and digit are taken out first.
+_MENTIONS = rf"list_filter(list_transform(regexp_extract_all(regexp_replace({_X}, '[A-Za-z][-+]?[0-9]+', '~', 'g'), '[-+]?[0-9][0-9,，]*(?:\.[0-9]+)?\s*(?:%|％|元|千元|万元|亿元|万|亿|倍)?'), lambda v: trim(v)), lambda v: not regexp_matches(regexp_replace(v, '\s+', '', 'g'), '^(?:19|20)[0-9]{{2}}年?$'))"
+
+
+def _met(tag: str, items: str) -> str:
+    return f"list_transform(list_filter({items}, lambda v: v <> '' and contains(x, v)), lambda v: '{tag}' || v)"
+
+
+@query("r_slots", f"""with {CANDIDATES}, {TARGETS}, tb as (select chunk_id, any_value(len(tables)) as n_tables from chunks group by 1),
+    s as (select cd.qid, cd.chunk_id, cd.doc_id, cd.clause_id, cd.chunk_type, coalesce(n_tables, 0) as n_tables, {_X} as x, {_MENTIONS} as m, b4.must_terms[1:8] as mt, b4.numbers[1:4] as qn, b4.dates[1:4] as qd, b4.intent from cd join b4 using (qid) join tb using (chunk_id))
+    select qid, chunk_id, array_to_string(list_sort(list_distinct(flatten([['doc:' || doc_id], {_met('term:', 'mt')}, {_met('number:', 'qn')}, {_met('date:', 'qd')}, case when len(m) > 0 then ['fact:numeric_value'] else [] end, case when intent = 'comparison' and len(list_distinct(m)) >= 2 then ['fact:comparison_endpoints'] else [] end,
+      case when regexp_matches(x, '处罚|罚款|扣减|减分|责令|不得|应当|期限|赔付|免责') then ['fact:consequence'] else [] end, case when regexp_matches(x, '营业收入|净利润|现金流|分红|每股|资产负债率|保费|赔付') then ['fact:metric_block'] else [] end, case when coalesce(chunk_type in ('table', 'figure'), false) or n_tables > 0 then ['fact:structured_block'] else [] end]))), '|') as slots,
+      round(case when clause_id <> '' then 0.2 else 0 end + case when intent in ('number', 'comparison') and (coalesce(chunk_type in ('table', 'figure'), false) or regexp_matches(x, '营业收入|净利润|现金流|分红|每股|资产负债率|保费|赔付')) then 0.3 else 0 end + case when regexp_matches(x, '处罚|罚款|扣减|减分|责令|不得|应当|期限|赔付|免责') then 0.2 else 0 end, 2) as bonus from s""")
+def r_slots(spark, base):
+    return slotted(spark, base).select("qid", "chunk_id", F.array_join(F.array_sort("slots"), "|").alias("slots"), "bonus")
+
+
+def slotted(spark, base):
+    rows = candidates(spark, base).join(table(spark, base, "chunks", "chunk_id", "tables").dropDuplicates(["chunk_id"]), "chunk_id")
+    return evidence.covered_slots(rows.drop("numbers", "dates"), asking.retrieval_targets(questions(spark, base)))
+
+
+@query("r_select_evidence")
+def r_select_evidence(spark, base):
+    targets = asking.retrieval_targets(questions(spark, base)).join(questions(spark, base).select("qid", F.coalesce("question", F.lit("")).alias("stem")), "qid")
+    return evidence.select_evidence(slotted(spark, base).join(asking.required_slots(targets).select("qid", "required"), "qid"), 4, 1500)

@@ -183,12 +183,6 @@ def r_round_robin(spark, base):
     return ranking.round_robin(claim_lists(spark, base).filter("rank <= 4"), "qid", "list_id", "rank").select("qid", "list_id", "chunk_id", "place")
 
 
-@query("r_select_evidence")
-def r_select_evidence(spark, base):
-    rows = claim_lists(spark, base).join(table(spark, base, "chunks", "chunk_id", "text", "numbers").dropDuplicates(["chunk_id"]), "chunk_id")
-    return evidence.select_evidence(rows.withColumn("slots", F.col("numbers")).dropDuplicates(["qid", "chunk_id"]), 4, 1500)
-
-
 @query("r_first_wins", "select chunk_id, loaded_at from (select chunk_id, loaded_at, row_number() over (partition by chunk_id order by loaded_at) as n from chunks) where n = 1")
 def r_first_wins(spark, base):
     return ranking.first_wins(table(spark, base, "chunks", "chunk_id", "loaded_at"), ["chunk_id"], "loaded_at")

@@ -143,6 +143,16 @@ def test_greedy_selection(spark):
     assert [r["chunk_id"] for r in evidence.select_evidence(cand, 2).orderBy("place").collect()] == ["a", "c"]
 
 
+def test_selection_weighs_required_slots_pins_and_budget(spark):
+    rows = [("q", "a", "d1", 1.0, ["opt1", "opt2", "opt3"], ["need"], "甲" * 10, 0.0, False), ("q", "b", "d1", 0.9, ["need"], ["need"], "乙" * 10, 0.0, False), ("q", "c", "d1", 0.1, [], ["need"], "丙" * 10, 0.0, True), ("q", "d", "d1", 0.8, ["need"], ["need"], "丁" * 90, 0.0, False), ("q", "e", "d1", 0.8, [], ["need"], "", 9.0, False)]
+    cand = spark.createDataFrame(rows, "qid string, chunk_id string, doc_id string, score double, slots array<string>, required array<string>, text string, bonus double, pinned boolean")
+    chosen = lambda k, most, **drop: [r["chunk_id"] for r in evidence.select_evidence(cand.drop(*drop.get("drop", ())), k, most).orderBy("place").collect()]
+    assert chosen(2, 100) == ["c", "b"] and chosen(3, 100) == ["c", "b", "a"]  # the pinned one first, then what is required
+    assert chosen(3, 20) == ["c", "b"] and chosen(1, 5) == ["c"]  # the first is always taken
+    assert chosen(9, 10_000) == ["c", "b", "a", "d"]  # an empty text never
+    assert chosen(1, 100, drop=("pinned",)) == ["b"]
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([("q", "d9", 1), ("q", "d1", 2), ("q", "d1", 3), ("q", "d2", 4)], "qid string, doc_id string, rank int")
     gold = spark.createDataFrame([("q", "d1"), ("q", "d3"), ("p", "d1")], "qid string, doc_id string")
@@ -213,3 +223,28 @@ def test_positions_in_a_document_of_several_spans(spark):
     rows = [("hot", f"c{i:04}") for i in range(500)] + [("d", "c0"), ("d", "c1")]
     got = {(r["doc_id"], r["chunk_id"]): r["seq"] for r in lookup.with_sequence(spark.createDataFrame(rows, "doc_id string, chunk_id string"), span=20).collect()}
     assert got == {**{("hot", f"c{i:04}"): i for i in range(500)}, ("d", "c0"): 0, ("d", "c1"): 1}
+
+
+def test_atoms_stay_within_clauses():
+    from millrace.operators.hierarchy import atoms, cut_long, line_clause
+
+    assert [line_clause(x) for x in ("第三条 甲", "3.2 范围", "3.2 %", "45.1 甲", "3.2 5", "甲第三条")] == ["第三条", "3.2", "", "", "", ""]
+    text = "目录\n第一章 总则\n第一条 甲方应当" + "履行义务。" * 30 + "\n第二条 乙方不得" + "转让权利；" * 150 + "\n12\n3.2 范围\n短。"
+    made = atoms(text)
+    assert all(len(t) <= 520 for t, _, _ in made) and "".join(t for t, _, _ in made) == "".join(text.split("\n")[1:]).replace("12" + "3.2", "3.2")
+    assert [c for _, _, c in made][:2] == ["第一章", "第一条"] and {s for _, s, _ in made} == {"第一章 总则", "3.2 范围"} and made[-1] == ("3.2 范围短。", "3.2 范围", "3.2")
+    assert not any("甲方" in t and "乙方" in t for t, _, _ in made)
+    assert cut_long("甲" * 30 + "。" + "乙" * 30, 40) == ["甲" * 30 + "。", "乙" * 30] and cut_long("甲" * 90, 40) == ["甲" * 40, "甲" * 40, "甲" * 10]
+    assert atoms("") == [] and atoms("目录\n12") == []
+
+
+def test_children_are_first_of_equal_texts(spark):
+    from millrace.operators.hierarchy import children
+
+    long = "本公司按照合同约定履行给付义务并及时披露相关信息，" * 4 + "。"
+    rows = [("c1", "d", 1, "", "", long, ["项目 | 金额\n收入 | 5\n项目 | 金额\nx"], "text"), ("c2", "d", 1, "", "", long + " ", None, "text"), ("c3", "e", 1, "", "", long, [None, ""], None), ("c4", "d", 1, "s", "第九条", None, [], "table"), ("c5", "d", 1, "", "", "图", None, "figure"), ("c6", "d", 1, "", "", "短句", None, "text")]
+    frame = spark.createDataFrame(rows, "chunk_id string, doc_id string, page int, section string, clause_id string, text string, tables array<string>, chunk_type string")
+    got = sorted((r["parent_id"], r["kind"], r["text"]) for r in children(frame).collect())
+    narrow = long.replace("，", ",")  # the compatibility form
+    assert got == [("c1", "atomic_text", narrow), ("c1", "table_row", "表头: 项目 | 金额\n数据行: 收入 | 5"), ("c3", "atomic_text", narrow)]
+    assert children(frame.limit(0)).count() == 0
