@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm.grouped_counts import Asked, Totals, collection_totals
 
 LEAST_COUNT = 3
-GROUP_CHARACTERS = 2_000_000
+GROUP_CHARACTERS = 500_000
 EPOCHS, STEP = 3, 0.1
 
 # Characters and letter groups that scans take for each other, misread form first.
