@@ -10,6 +10,7 @@ import millrace.plans.navigator  # noqa: F401
 import millrace.plans.problems  # noqa: F401
 import millrace.plans.rerank  # noqa: F401
 import millrace.plans.retrieval  # noqa: F401
+import millrace.plans.sweeps  # noqa: F401
 import millrace.plans.verdicts  # noqa: F401
 from comparing import SMALL, check, database
 from millrace.plans.registry import QUERIES, SQL
