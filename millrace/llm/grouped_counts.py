@@ -28,21 +28,29 @@ class Totals:
 
     def __init__(self, answers: pa.Table, least: int):
         self._of: dict[int, int] = {}
+        self._kinds: dict[str, _Kind] = {}
         for entries, totals in zip(answers["entries"].to_pylist(), answers["totals"].to_pylist()):
             self._of.update((e, n) for e, n in zip(np.frombuffer(entries, "<u8").tolist(), np.frombuffer(totals, "<i8").tolist()) if n >= least)
 
     def __getitem__(self, kind: str) -> _Kind:
-        return _Kind(self._of, kind)
+        if kind not in self._kinds:
+            self._kinds[kind] = _Kind(self._of, kind)
+        return self._kinds[kind]
 
 
 class _Kind:
-    __slots__ = ("_kind", "_of")
+    """Totals of one kind. ``known`` is for what users derive from them, once for each entry."""
+
+    __slots__ = ("_kind", "_of", "_met", "known")
 
     def __init__(self, of: dict[int, int], kind: str):
-        self._of, self._kind = of, kind
+        self._of, self._kind, self._met, self.known = of, kind, {}, {}
 
     def get(self, entry: str, default: int = 0) -> int:
-        return self._of.get(entry_hash(self._kind, entry), default)
+        found = self._met.get(entry)
+        if found is None:
+            found = self._met[entry] = self._of.get(entry_hash(self._kind, entry), default)
+        return found
 
 
 class Asked:
@@ -50,19 +58,24 @@ class Asked:
 
     def __init__(self, noted: Counter):
         self._noted = noted
+        self._kinds: dict[str, _Note] = {}
 
     def __getitem__(self, kind: str) -> _Note:
-        return _Note(self._noted, kind)
+        if kind not in self._kinds:
+            self._kinds[kind] = _Note(self._noted, kind)
+        return self._kinds[kind]
 
 
 class _Note:
-    __slots__ = ("_kind", "_noted")
+    __slots__ = ("_kind", "_noted", "_met", "known")
 
     def __init__(self, noted: Counter, kind: str):
-        self._noted, self._kind = noted, kind
+        self._noted, self._kind, self._met, self.known = noted, kind, set(), {}
 
     def get(self, entry: str, default: int = 0) -> int:
-        self._noted[self._kind, entry] += 0
+        if entry not in self._met:
+            self._met.add(entry)
+            self._noted[self._kind, entry] += 0
         return default
 
 

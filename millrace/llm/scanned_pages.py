@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,7 @@ TRIGRAM = re.compile(f"(?=(.[{CENTRES}].))", re.S)
 JOINED = re.compile(r"(?<=[㐀-鿿，。；、）（0-9%])\n(?=[㐀-鿿，。；、）（0-9%])")
 
 
+@lru_cache(1 << 16)
 def mask(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub("[0-9]+", "9", line.strip()))
 
@@ -82,13 +84,12 @@ def own_counts(total: Counter, text: str, title: str | None) -> None:
         total["ending", title[-2:]] += 1
 
 
-def asked_counts(total: Counter, text: str, page: int | None, title: str | None) -> None:
+def asked_counts(asked: Asked, text: str, page: int | None) -> None:
     """Notes every count that the repair of a page may ask for, whichever of its lines turn out to be body."""
-    asked = Asked(total)
     lines = [line for line in text.split("\n") if line.strip()]
     for number, line in enumerate(lines):
         following = lines[number + 1] if number + 1 < len(lines) else ""
-        line_features(line, number, len(lines), page, title or "", asked)
+        line_features(line, number, len(lines), page, "", asked)
         repair_line(line, lines[number - 1][-1:] if number else "", following[:1], asked)
         cut_word(line, following, asked["word"])
 
@@ -105,10 +106,11 @@ def _rows_of(group: pa.Table) -> list[tuple]:
 
 def _listed(group: pa.Table) -> Counter:
     total: Counter = Counter()
+    asked = Asked(total)
     for _, page, text, title, whole in _rows_of(group):
         for part, number in parts_of(text, page, whole):
             own_counts(total, part, title)
-            asked_counts(total, part, number, title)
+            asked_counts(asked, part, number)
     return total
 
 
@@ -193,7 +195,7 @@ def best_sequence(features: list[list[str]], weights: dict, allowed: list[tuple[
     """The best non-falling sequence of labels; ``allowed`` restricts the labels of each line."""
     best, back = [0.0, 0.0, 0.0], []
     for number, own in enumerate(features):
-        gain = [sum(weights[f][state] for f in own if f in weights) for state in range(3)]
+        gain = [sum(w) for w in zip(*(weights[f] for f in own if f in weights), (0.0, 0.0, 0.0))]
         came, now = [], []
         for state in range(3):
             before = max(range(state + 1), key=lambda s: best[s])
@@ -281,6 +283,13 @@ def _fit_group(group: pa.Table) -> pa.Table:
 
 def better_word(word: str, words: dict[str, int]) -> str | None:
     """The frequent word that ``word`` is a misread form of."""
+    known = getattr(words, "known", {})
+    if word not in known:
+        known[word] = _better_word(word, words)
+    return known[word]
+
+
+def _better_word(word: str, words) -> str | None:
     low = word.lower()
     own = words.get(low, 0)
     best, most = None, max(5, 20 * own)
