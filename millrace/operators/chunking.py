@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import HEADING, chunk_key, clause_of, dates, numbers, section_of, strip, without_space
+from millrace.functions.text import chunk_key, clause_of, dates, numbers, section_of, strip
 
 # Starts of clauses, noise lines, check boxes.
 CLAUSE_START = "(?m)(?=第[一二三四五六七八九十百千万0-9]+[章节条])|(?m)(?=^[0-9]+(?:\\.[0-9]+)+)"
-STRICT_CLAUSE = "(?m)^\\s*(第[一二三四五六七八九十百千万0-9]+[章节条]|[0-9]+(?:\\.[0-9]+)+)(?![0-9%％.]*(?:元|万|亿|%|％))"
 NOISE_LINE = "^(?:目\\s*录|目次|第\\s*[0-9]+\\s*页.*|[0-9]{1,4}|.*\\.{4,}\\s*[0-9]+)$"
 BOXES = "□☑√■☐"
 
@@ -72,18 +71,6 @@ def chunk_pages(pages: DataFrame, most: int = 1800, by_clause: tuple[str, ...] =
     )
 
 
-def atomic_children(chunks: DataFrame, target: int = 360, least: int = 48) -> DataFrame:
-    """Small indexed children of each chunk: sentences packed to ``target``; the first of equal texts of a document wins.
-
-    A child below ``least`` characters stays only if it has a number, a clause or a heading.
-    """
-    parts = chunks.select("doc_id", F.col("chunk_id").alias("parent_id"), F.posexplode(pack(sentences(F.col("text")), target)).alias("idx", "text"))
-    telling = (F.length("text") >= least) | F.col("text").rlike("[0-9]") | F.col("text").rlike(HEADING) | (clause_of(F.col("text")) != "")
-    parts = parts.filter(telling).withColumn("bare", without_space(F.col("text")))
-    first = parts.groupBy("doc_id", "bare").agg(F.min_by(F.struct("parent_id", "idx", "text"), F.struct("parent_id", "idx")).alias("c"))
-    return first.select("doc_id", "c.parent_id", "c.idx", "c.text", F.concat_ws(":", "c.parent_id", F.concat(F.lit("a"), F.col("c.idx")), F.substring(F.sha1("c.text"), 1, 10)).alias("child_id"))
-
-
 def table_row_texts(tables: DataFrame) -> DataFrame:
     """One text per data row of a table (table_id, caption, unit, header, rows): caption, unit and header repeated before its cells."""
     cell = lambda xs: F.array_join(F.transform(xs, lambda c: F.coalesce(c, F.lit(""))), " | ")

@@ -148,7 +148,15 @@ def r_document_fusion(spark, base):
     return ranking.document_fusion(claim_lists(spark, base), 5).select("qid", "doc_id", F.round("score", 8).alias("score"), "rank")
 
 
-@query("r_rescue")
+# A list of ten: what is missing of the five best documents comes behind, and each beyond ten costs the lowest hit of another document.
+@query("r_rescue", f"""with {LISTS}, f as (select qid, chunk_id, arg_max(doc_id, score) as doc_id, sum(weight / (60 + rank)) as s from l group by all), h as (select * from (select *, row_number() over (partition by qid order by round(s, 9) desc, chunk_id) as rank from f) where rank <= 10),
+    p as (select qid, list_id, doc_id, min(rank) as place, any_value(weight) as weight from l group by all), ds as (select qid, doc_id, sum(weight / (60 + place)) as s from p group by all), dd as (select * from (select *, row_number() over (partition by qid order by round(s, 9) desc, doc_id) as r from ds) where r <= 5),
+    b as (select qid, doc_id, chunk_id from (select *, row_number() over (partition by qid, doc_id order by score desc, chunk_id desc) as n from l) where n = 1),
+    m as (select dd.qid, dd.doc_id, b.chunk_id, row_number() over (partition by dd.qid order by r) as nth from dd join b using (qid, doc_id) where not exists (select 1 from h where h.qid = dd.qid and h.doc_id = dd.doc_id)),
+    g as (select qid, greatest(count(*) + (select count(*) from m where m.qid = h.qid) - 10, 0) as give from h group by qid),
+    kx as (select h.qid, h.doc_id, h.chunk_id, h.rank, row_number() over (partition by h.qid order by exists (select 1 from dd where dd.qid = h.qid and dd.doc_id = h.doc_id), h.rank desc) as turn from h),
+    u as (select kx.qid, doc_id, chunk_id, rank as at_ from kx join g using (qid) where turn > give union all select qid, doc_id, chunk_id, nth + 10 from m)
+    select qid, doc_id, chunk_id, row_number() over (partition by qid order by at_, chunk_id) as place from u""")
 def r_rescue(spark, base):
     return ranking.rescue_documents(claim_lists(spark, base), 10)
 

@@ -7,6 +7,7 @@ import millrace.plans.content  # noqa: F401
 import millrace.plans.financial  # noqa: F401
 import millrace.plans.hierarchy  # noqa: F401
 import millrace.plans.navigator  # noqa: F401
+import millrace.plans.packs  # noqa: F401
 import millrace.plans.problems  # noqa: F401
 import millrace.plans.rerank  # noqa: F401
 import millrace.plans.retrieval  # noqa: F401
