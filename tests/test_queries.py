@@ -4,6 +4,7 @@ import pytest
 
 import millrace.plans.asking  # noqa: F401
 import millrace.plans.content  # noqa: F401
+import millrace.plans.feedback  # noqa: F401
 import millrace.plans.financial  # noqa: F401
 import millrace.plans.hierarchy  # noqa: F401
 import millrace.plans.navigator  # noqa: F401
