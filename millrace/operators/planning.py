@@ -8,21 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+MOST_NODES = 1_000_000
+
+
+def dependency_levels(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES) -> DataFrame:
     """(node, level): level 0 depends on nothing, every other node comes after all it depends on. A cycle is an error.
 
-    ``edges`` has node, depends_on; edges to unknown nodes and to the node itself are dropped. A recursive query walks all paths
-    of the (small) graph; a node on a cycle would go on past ``most`` levels.
+    ``edges`` has node, depends_on; edges to unknown nodes and to the node itself are dropped. A plan is a small graph: its nodes and
+    edges are counted first, and are levelled on the driver, each edge once; above ``most`` the plan is refused.
     """
-    spark = nodes.sparkSession
-    nodes.select("node").distinct().createOrReplaceTempView("_plan_nodes")
-    edges.join(nodes.select(F.col("node").alias("depends_on")), "depends_on").filter("node <> depends_on").select("node", "depends_on").distinct().createOrReplaceTempView("_plan_edges")
-    walked = spark.sql(f"""
-        with recursive walk(node, level) as (
-            select node, 0 from _plan_nodes
-            union all select e.node, w.level + 1 from walk w join _plan_edges e on e.depends_on = w.node where w.level <= {most}
-        ) select node, cast(max(level) as int) as level from walk group by node""")
-    return walked.select("node", F.when(F.col("level") > most, F.raise_error(F.lit("the plan has a cycle")).cast("int")).otherwise(F.col("level")).alias("level"))
+    names = nodes.select("node").distinct()
+    known = edges.select("node", "depends_on").join(names, "node", "left_semi").join(names.withColumnRenamed("node", "depends_on"), "depends_on", "left_semi").filter("node <> depends_on").distinct()
+    if names.count() + known.count() > most:
+        raise ValueError(f"a plan has at most {most} nodes and edges")
+    waits = {row["node"]: 0 for row in names.toLocalIterator()}
+    after: dict = {}
+    for row in known.toLocalIterator():
+        waits[row["node"]] += 1
+        after.setdefault(row["depends_on"], []).append(row["node"])
+    level, ready, made = 0, sorted((n for n, w in waits.items() if not w), key=str), []
+    while ready:
+        made += [(n, level) for n in ready]
+        following = []
+        for n in ready:
+            for other in after.get(n, ()):
+                waits[other] -= 1
+                if not waits[other]:
+                    following.append(other)
+        level, ready = level + 1, sorted(following, key=str)
+    if len(made) < len(waits):
+        raise ValueError("the plan has a cycle")
+    kind = nodes.schema["node"].dataType.simpleString()
+    return nodes.sparkSession.createDataFrame(made, f"node {kind}, level int")
 
 
 def inherited(profiles: DataFrame, entries: DataFrame, most: int = 32) -> DataFrame:

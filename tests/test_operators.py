@@ -248,3 +248,45 @@ def test_children_are_first_of_equal_texts(spark):
     narrow = long.replace("，", ",")  # the compatibility form
     assert got == [("c1", "atomic_text", narrow), ("c1", "table_row", "表头: 项目 | 金额\n数据行: 收入 | 5"), ("c3", "atomic_text", narrow)]
     assert children(frame.limit(0)).count() == 0
+
+
+def test_histories_against_all_assignments():
+    import itertools
+    import random
+
+    from millrace.operators import histories as h
+
+    rng = random.Random(4)
+    for _ in range(40):
+        qids = ["a", "b", "c", "d"]
+        valid = {q: ["A", "B", "C"][: rng.randrange(2, 4)] for q in qids}
+        runs = {r: {q: rng.choice(valid[q]) for q in qids} for r in ("r1", "r2")}
+        correct = {r: rng.randrange(5) for r in runs}
+        every = [dict(zip(qids, x)) for x in itertools.product(*(valid[q] for q in qids))]
+        agree = [x for x in every if all(sum(x[q] == run[q] for q in qids) == correct[r] for r, run in runs.items())]
+        candidate = {q: rng.choice(valid[q]) for q in qids}
+        hits = lambda x, some=qids: sum(x[q] == candidate[q] for q in some)
+        assert h.possible_counts(runs, correct, valid, candidate) == sorted({hits(x) for x in agree}) and h.feasible(runs, correct, valid) == bool(agree)
+        fixed = {"a": valid["a"][0]}
+        assert h.feasible(runs, correct, valid, fixed) == any(x["a"] == fixed["a"] for x in agree)
+        assert h.feasible(runs, correct, valid, forbidden=fixed) == any(x["a"] != fixed["a"] for x in agree)
+        weights = {(q, v): rng.randrange(5) for q in qids for v in valid[q]}
+        total = lambda x: sum(weights[q, x[q]] for q in qids)
+        best = h.best_assignment(runs, correct, valid, weights)
+        assert (best is None and not agree) or (best in agree and total(best) == max(map(total, agree)))
+        if agree:
+            assert h.bounds(runs, correct, valid, candidate, ["a", "b"]) == (min(hits(x, "ab") for x in agree), max(hits(x, "ab") for x in agree))
+            ranked = h.rank_probes(runs, correct, valid, candidate, 2, {"a": valid["a"], "b": valid["b"]})
+            assert len(ranked) == len(valid["a"]) * len(valid["b"]) - 1 and [p.counts[0] for p in ranked] == sorted((p.counts[0] for p in ranked), reverse=True)
+        else:
+            with pytest.raises(ValueError, match="contradict"):
+                h.bounds(runs, correct, valid, candidate)
+    with pytest.raises(ValueError, match="combinations"):
+        h.rank_probes(runs, correct, valid, candidate, 2, {q: valid[q] for q in qids}, 3)
+
+
+def test_levels_of_a_graph_with_many_paths(spark):
+    edges = [(f"n{i + 1}{x}", f"n{i}{y}") for i in range(30) for x in "ab" for y in "ab"] + [("n0a", "n0a"), ("n1a", "unknown"), (None, "n0a")]
+    nodes = spark.createDataFrame([(f"n{i}{x}",) for i in range(31) for x in "ab"], "node string")
+    got = {r["node"]: r["level"] for r in planning.dependency_levels(nodes, spark.createDataFrame(edges, "node string, depends_on string")).collect()}
+    assert got == {f"n{i}{x}": i for i in range(31) for x in "ab"}
