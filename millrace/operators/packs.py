@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +45,27 @@ def packs(chosen: DataFrame, chunks: DataFrame, window: int = 1, most: int = 4,
     first = every.groupBy("qid", "anchor_id", "chunk_id").agg(F.min(F.struct("turn", "m_seq", "n")).alias("f"))
     placed = first.withColumn("o", F.row_number().over(Window.partitionBy("qid", "anchor_id").orderBy("f.turn", "f.m_seq")))
     return within_budget_skip(placed.select("qid", "anchor_id", "chunk_id", "o", F.col("f.n").alias("n")), ["qid", "anchor_id"], "o", "chunk_id", F.col("n"), characters, most)
+
+
+def merged(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """(qid, pack, score, chunk_ids): packs that share a member as one, the best first.
+
+    ``members`` has qid, anchor_id, place, chunk_id, ``scores`` qid, anchor_id, score. By falling score (ties by anchor) each pack joins
+    the first pack so far that has one of its members, behind whose members its new ones come; else it is a pack of its own. A
+    question has a bounded number of packs of bounded size, so its packs are one group.
+    """
+    listed = members.groupBy("qid", "anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for _, row in group.sort_values(["score", "anchor_id"], ascending=[False, True]).iterrows():
+            own = list(row["ids"])
+            met = next((p for p in out if set(p[2]) & set(own)), None)
+            if met is None:
+                out.append([row["anchor_id"], row["score"], own])
+            else:
+                met[2] += [c for c in own if c not in met[2]]
+        return pd.DataFrame({"qid": [group["qid"].iloc[0]] * len(out), "pack": [p[0] for p in out], "score": [p[1] for p in out], "chunk_ids": [p[2] for p in out]})
+
+    rows = listed.join(scores.select("qid", "anchor_id", "score"), ["qid", "anchor_id"])
+    return rows.groupBy("qid").applyInPandas(join, "qid string, pack string, score double, chunk_ids array<string>")

@@ -34,3 +34,11 @@ def j_anchors(spark, base):
 def j_packs(spark, base):
     rows = table(spark, base, "chunks").select("chunk_id", "doc_id", "page", "section", "clause_id", "text", F.col("metadata")["chunk_type"].alias("chunk_type")).distinct()
     return packs.packs(chosen(spark, base), lookup.with_sequence(rows))
+
+
+@query("j_merged_packs")
+def j_merged_packs(spark, base):
+    own = chosen(spark, base)
+    rows = table(spark, base, "chunks").select("chunk_id", "doc_id", "page", "section", "clause_id", "text", F.col("metadata")["chunk_type"].alias("chunk_type")).distinct()
+    members = packs.packs(own, lookup.with_sequence(rows))
+    return packs.merged(members, own.withColumnRenamed("chunk_id", "anchor_id")).select("qid", "pack", F.round("score", 8).alias("score"), F.array_join("chunk_ids", "|").alias("chunk_ids"))

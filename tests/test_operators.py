@@ -290,3 +290,13 @@ def test_levels_of_a_graph_with_many_paths(spark):
     nodes = spark.createDataFrame([(f"n{i}{x}",) for i in range(31) for x in "ab"], "node string")
     got = {r["node"]: r["level"] for r in planning.dependency_levels(nodes, spark.createDataFrame(edges, "node string, depends_on string")).collect()}
     assert got == {f"n{i}{x}": i for i in range(31) for x in "ab"}
+
+
+def test_packs_that_share_a_member_are_one(spark):
+    from millrace.operators import packs
+
+    members = spark.createDataFrame([("q", "a", 0, "a"), ("q", "a", 1, "x"), ("q", "b", 0, "b"), ("q", "b", 1, "x"), ("q", "c", 0, "c"), ("r", "a", 0, "a")], "qid string, anchor_id string, place int, chunk_id string")
+    scores = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 2.0), ("q", "c", 1.0), ("r", "a", 0.5)], "qid string, anchor_id string, score double")
+    got = {(r["qid"], r["pack"]): (r["score"], r["chunk_ids"]) for r in packs.merged(members, scores).collect()}
+    assert got == {("q", "b"): (2.0, ["b", "x", "a"]), ("q", "c"): (1.0, ["c"]), ("r", "a"): (0.5, ["a"])}
+    assert packs.merged(members.limit(0), scores).count() == 0
