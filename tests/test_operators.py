@@ -55,6 +55,15 @@ def test_filter_keeps_statistics_and_normalises_after(spark, docs):
     assert index.field_search(docs, q, {"base": "body"}, doc_filter=scope).first()["score"] == pytest.approx(1.0)
 
 
+def test_search_counts_every_term(spark):
+    words = [f"w{i:03}" for i in range(200)]
+    rows = [("c0", "d0", " ".join(words))] + [(f"c{i:03}", "d1", " ".join(words[:40])) for i in range(1, 4)]  # the first 40 are frequent
+    long = spark.createDataFrame(rows, "chunk_id string, doc_id string, body string")
+    q = spark.createDataFrame([("q", " ".join(words))], "qid string, text string")
+    got = {r["chunk_id"]: r["score"] for r in index.search(long, q).collect()}
+    assert set(got) == {"c0", "c001", "c002", "c003"}  # found by frequent terms alone, behind 160 rarer ones
+
+
 def test_written_index(spark, docs, tmp_path):
     q = spark.createDataFrame([("q", "apple fig")], "qid string, text string")
     index.write_index(docs, str(tmp_path))
