@@ -62,6 +62,8 @@ def test_search_counts_every_term(spark):
     q = spark.createDataFrame([("q", " ".join(words))], "qid string, text string")
     got = {r["chunk_id"]: r["score"] for r in index.search(long, q).collect()}
     assert set(got) == {"c0", "c001", "c002", "c003"}  # found by frequent terms alone, behind 160 rarer ones
+    held = {r["chunk_id"]: r["score"] for r in index.search(long, q, doc_filter=spark.createDataFrame([("q", "d1")], "qid string, doc_id string")).collect()}
+    assert held == pytest.approx({c: x for c, x in got.items() if c != "c0"})
 
 
 def test_written_index(spark, docs, tmp_path):
