@@ -8,6 +8,36 @@ from pyspark.sql import functions as F
 RRF_K = 60
 
 
+def best_by_shared(claims: DataFrame, chunks: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
+    """(keys, chunk_id, doc_id, score, rank): of each claim's documents the k chunks that share most of its numbers, ties by chunk_id.
+
+    ``claims`` has the keys (one row each), doc_ids, numbers; ``chunks`` chunk_id, doc_id, numbers. A document's chunks don't all meet
+    its claims, which would grow with the square of a large document; what meets is bounded, and holds the k best:
+    a chunk that shares nothing is among the k first of its document (so is one without numbers, behind all others); a chunk that
+    shares one number is among the k first with that number; a chunk that shares several has one of them that isn't the claim's most
+    frequent in the document.
+    """
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("chunk_id"))
+    own = chunks.select("doc_id", "chunk_id", F.col("numbers").alias("_own"), F.col("numbers").isNull().alias("_none"))
+    spread = claims.select(*keys, "numbers", F.posexplode("doc_ids").alias("_at", "doc_id"))  # a document that is named twice counts twice
+    at = [*keys, "_at", "doc_id"]
+    heads = own.withColumn("_n", first("doc_id", "_none")).filter(F.col("_n") <= k).select("doc_id", "chunk_id", "_own")
+    # Numbers are 64-bit hashes; smaller documents are wholly among the heads.
+    large = own.groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > k).select("doc_id")
+    asked = spread.join(large, "doc_id", "left_semi").select(*at, F.explode(F.array_distinct("numbers")).alias("_number")).select(*at, F.xxhash64("_number").alias("_h"))
+    posted = own.join(large, "doc_id", "left_semi").select("doc_id", "chunk_id", "_own", F.explode(F.array_distinct("_own")).alias("_number")).select("doc_id", "chunk_id", "_own", F.xxhash64("_number").alias("_h"))
+    posted = posted.join(asked.select("doc_id", "_h").distinct(), ["doc_id", "_h"], "left_semi")
+    there = Window.partitionBy("doc_id", "_h")
+    posted = posted.withColumn("_n", F.row_number().over(there.orderBy("chunk_id"))).withColumn("_df", F.count("*").over(there))
+    most = F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("_df"), "_h"))
+    asked = asked.join(posted.filter("_n = 1").select("doc_id", "_h", "_df"), ["doc_id", "_h"]).withColumn("_most", most)
+    met = asked.drop("_df").join(posted, ["doc_id", "_h"]).filter((F.col("_most") > 1) | (F.col("_n") <= k)).select(*at, "chunk_id", "_own")
+    every = spread.select(*at).join(heads, "doc_id").unionByName(met).dropDuplicates([*at, "chunk_id"]).join(claims.select(*keys, "numbers"), keys)
+    shared = F.size(F.array_intersect("numbers", "_own")).cast("double")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
+    return every.withColumn("score", shared).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*keys, "chunk_id", "doc_id", "score", "rank")
+
+
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 30, constant: int = RRF_K, partition: str = "qid") -> DataFrame:
     """(qid, chunk_id, doc_id, score, raw_score, rank) from (qid, list_id, rank, chunk_id, doc_id, score, weight).
 

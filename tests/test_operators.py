@@ -83,6 +83,25 @@ def test_document_search_covers_whole_documents(spark):
     assert got == pytest.approx({r["doc_id"]: r["score"] for r in index.best_scores(index.tokenized(joined, F.col("body"), "doc_id"), q, 8, key="doc_id").collect()})
 
 
+def test_best_by_shared_meets_few_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    draw = lambda n: None if rng.random() < 0.05 else [rng.choice([None, *map(str, range(9))]) if rng.random() < 0.7 else str(rng.randrange(200)) for _ in range(rng.randrange(n))]
+    chunks = [(f"c{i:04}", "long" if i % 3 else f"d{i % 40}", draw(8)) for i in range(600)]
+    claims = [(f"q{i}", rng.choice([["long"], ["long", "d0"], ["d3", "d6"], ["long", "long"], []]), draw(6)) for i in range(60)]
+    own, asked = spark.createDataFrame(chunks, "chunk_id string, doc_id string, numbers array<string>"), spark.createDataFrame(claims, "qid string, doc_ids array<string>, numbers array<string>")
+    got = {(r["qid"], r["rank"]): (r["chunk_id"], r["score"]) for r in ranking.best_by_shared(asked, own, ["qid"], 20).collect()}
+    want = {}
+    for qid, docs_, numbers in claims:
+        every = [(None if numbers is None or n is None else float(len(set(numbers) & set(n))), c) for doc in docs_ for c, d, n in chunks if d == doc]
+        for rank, (score, c) in enumerate(sorted(every, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:20], 1):
+            want[qid, rank] = (c, score)
+    assert got == want
+    plan = ranking.best_by_shared(asked, own, ["qid"], 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and "_most" in plan  # claims meet bounded candidates, not every chunk of their documents
+
+
 LISTS = "qid string, list_id string, rank int, chunk_id string, doc_id string, score double, weight double"
 
 
