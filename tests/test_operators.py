@@ -66,6 +66,15 @@ def test_search_counts_every_term(spark):
     assert held == pytest.approx({c: x for c, x in got.items() if c != "c0"})
 
 
+def test_terms_meet_in_the_documents_of_a_query(spark, docs):
+    q = spark.createDataFrame([("q", "apple plum pear"), ("r", "pear")], "qid string, text string")
+    scope = spark.createDataFrame([("q", "d1"), ("r", "d2"), ("r", "d2")], "qid string, doc_id string")
+    tokens = index.tokenized(docs, F.col("body"))
+    every = {(r["q"], r["c"]): r["score"] for r in index.hashed_scores(tokens, q).collect()}
+    held = {(r["q"], r["c"]): r["score"] for r in index.hashed_scores(tokens, q, scope=scope, homes=docs).collect()}
+    assert len(every) == 5 and len(held) == 3 and held == pytest.approx({x: every[x] for x in held})
+
+
 def test_written_index(spark, docs, tmp_path):
     q = spark.createDataFrame([("q", "apple fig")], "qid string, text string")
     index.write_index(docs, str(tmp_path))
