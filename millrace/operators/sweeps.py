@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,68 @@ def _year(value: Column) -> Column:
     return F.regexp_replace(value, "\\s+", "").rlike("^(?:19|20)[0-9]{2}年?$")
 
 
-def document_sweep(claims: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
+LARGE, BLOCK = 1000, 8192  # chunks of a document that is swept by blocks, and of a block
+
+
+def _holders(values: list[str], texts: list[str]) -> dict[str, np.ndarray]:
+    """The numbers of the texts that contain each value, by rolling 64-bit hashes of every length: one pass over the texts a length.
+    Neither has white space."""
+    whole = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    found = {v: np.arange(len(texts)) if v == "" else np.zeros(0, int) for v in values}
+    step, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(42)
+    of_length: dict[int, list[str]] = {}
+    for v in values:
+        of_length.setdefault(len(v), []).append(v)
+    rolled = whole
+    for length in range(1, max(of_length, default=0) + 1):
+        if length > len(whole):
+            break
+        if length > 1:
+            rolled = rolled[:-1] * step + whole[length - 1 :]
+        if length not in of_length:
+            continue
+        asked = np.frombuffer("".join(of_length[length]).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, length)
+        key = asked[:, 0]
+        for i in range(1, length):
+            key = key * step + asked[:, i]
+        order = np.argsort(key)
+        key, maybe = key[order], np.zeros(1 << 22, bool)
+        maybe[key >> shift] = True
+        at = np.flatnonzero(maybe[rolled >> shift])
+        which = np.minimum(np.searchsorted(key, rolled[at]), len(key) - 1)
+        at, which = at[key[which] == rolled[at]], which[key[which] == rolled[at]]
+        by = np.argsort(which, kind="stable")
+        at, which = at[by], which[by]
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(which)) + 1):
+            if len(part):
+                found[of_length[length][order[which[part[0]]]]] = np.unique(np.searchsorted(begin, at[part], "right") - 1)
+    return found
+
+
+def _swept(k: int):
+    def sweep(claims: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(claims) and len(chunks):
+            chunks = chunks.sort_values("chunk_id")
+            ids, texts, bonus = chunks["chunk_id"].to_numpy(), list(chunks["_x"]), np.where(chunks["_kind"].to_numpy(), 8, 0)
+            lists = [[list(x) for x in claims[c]] for c in ("_n", "_d", "_y", "_t")]
+            holders = _holders(sorted({v for each in lists for x in each for v in x}), texts)
+            for qid, option, doc_id, *own in zip(claims["qid"], claims["option"], claims["doc_id"], *lists):
+                a, b, c, d = (np.zeros(len(ids), np.int64) for _ in own)
+                for count, values in zip((a, b, c, d), own):
+                    for v in values:
+                        count[holders[v]] += 1
+                met = np.flatnonzero((a > 0) | (b > 0) | (d >= 2))
+                points = (40 * a + 30 * b + 5 * (c > 0) + 10 * d + bonus)[met]
+                best = np.argsort(-points, kind="stable")[:k]
+                out += [(qid, option, doc_id, ids[i], p / 10) for i, p in zip(met[best], points[best])]
+        return pd.DataFrame(out, columns=["qid", "option", "doc_id", "chunk_id", "points"])
+
+    return sweep
+
+
+def document_sweep(claims: DataFrame, chunks: DataFrame, k: int = 8, large_from: int = LARGE) -> DataFrame:
     """(qid, option, doc_id, chunk_id, points, score, place): the k chunks of each document of a claim's scope that state most of its
     numbers, dates and terms.
 
@@ -30,12 +93,19 @@ def document_sweep(claims: DataFrame, chunks: DataFrame, k: int = 8) -> DataFram
     own = claims.select(
         "qid", "option", F.explode(F.array_distinct("doc_scope")).alias("doc_id"), flat(F.filter("numbers", lambda v: ~_year(v))).alias("_n"), flat(F.filter("dates", lambda v: F.length(compact(v)) > 4)).alias("_d"), flat(F.filter("numbers", _year)).alias("_y"), flat(F.col("terms")).alias("_t"),
     )
-    rows = own.join(chunks.select("chunk_id", "doc_id", compact(F.col("text")).alias("_x"), "chunk_type").filter("_x <> ''"), "doc_id")
+    chunks = chunks.select("chunk_id", "doc_id", compact(F.col("text")).alias("_x"), "chunk_type").filter("_x <> ''")
+    # A large document, whose pairs grow with its square: blocks of chunks, in which each value is looked up once for all claims.
+    large = chunks.groupBy("doc_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), F.count("*").alias("_rows")).filter(F.col("_rows") > large_from).select("doc_id", "_blocks")
+    asked = own.join(large, "doc_id").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    parts = chunks.join(large, "doc_id").select("doc_id", F.pmod(F.xxhash64("chunk_id"), F.col("_blocks")).cast("int").alias("_b"), "chunk_id", "_x", F.coalesce(F.col("chunk_type").isin("table", "financial_metric_row"), F.lit(False)).alias("_kind"))
+    blocks = asked.groupBy("doc_id", "_b").cogroup(parts.groupBy("doc_id", "_b")).applyInPandas(_swept(k), "qid string, option string, doc_id string, chunk_id string, points double")
+    rows = own.join(large, "doc_id", "left_anti").join(chunks, "doc_id")
     hits = lambda c: F.size(F.filter(c, lambda v: F.contains(F.col("_x"), v)))
     rows = rows.withColumns({"a": hits("_n"), "b": hits("_d"), "c": hits("_y"), "d": hits("_t")}).filter("a > 0 or b > 0 or d >= 2")
     points = F.col("a") * 4.0 + F.col("b") * 3.0 + F.least(F.col("c"), F.lit(1)) * 0.5 + F.col("d") + F.when(F.col("chunk_type").isin("table", "financial_metric_row"), 0.8).otherwise(0.0)
     order = Window.partitionBy("qid", "option", "doc_id").orderBy(F.desc("points"), "chunk_id")
-    rows = rows.withColumn("points", F.round(points, 6)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    rows = rows.select("qid", "option", "doc_id", "chunk_id", F.round(points, 6).alias("points")).unionByName(blocks)
+    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     return rows.select("qid", "option", "doc_id", "chunk_id", "points", F.round(F.least("points", F.lit(10.0)) * 0.01 + 0.25, 6).alias("score"), "place")
 
 

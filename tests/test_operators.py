@@ -92,6 +92,21 @@ def test_document_search_covers_whole_documents(spark):
     assert got == pytest.approx({r["doc_id"]: r["score"] for r in index.best_scores(index.tokenized(joined, F.col("body"), "doc_id"), q, 8, key="doc_id").collect()})
 
 
+def test_sweep_by_blocks_equals_pairs(spark):
+    import random
+
+    from millrace.operators import sweeps
+
+    rng = random.Random(2)
+    word = lambda: rng.choice(["利润", "4", "11", "净利润", "2,310元", "2023年", "罚款", "2024年1月3日", "，12％"])
+    chunks = [(f"c{i:03}", rng.choice(["d1", "d2"]), None if i % 29 == 0 else " ".join(word() + rng.choice(["", "占", "7"]) for _ in range(rng.randrange(5))), rng.choice(["table", "text", None])) for i in range(300)]
+    claims = [(f"q{i}", "A", rng.choice([["d1"], ["d1", "d2"], ["d2", "d2"], []]), [word() for _ in range(rng.randrange(3))], ["2024年1月3日"][: i % 2], [word() for _ in range(rng.randrange(4))]) for i in range(50)]
+    own = spark.createDataFrame(claims, "qid string, option string, doc_scope array<string>, numbers array<string>, dates array<string>, terms array<string>")
+    rows = spark.createDataFrame(chunks, "chunk_id string, doc_id string, text string, chunk_type string")
+    pairs, blocks = (sorted(sweeps.document_sweep(own, rows, 8, n).collect()) for n in (10**6, 10))
+    assert len(pairs) > 100 and pairs == blocks
+
+
 def test_best_by_shared_meets_few_pairs(spark):
     import random
 
