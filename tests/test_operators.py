@@ -66,6 +66,42 @@ def test_search_counts_every_term(spark):
     assert held == pytest.approx({c: x for c, x in got.items() if c != "c0"})
 
 
+def scored_by_hand(rows, queries, most=160):
+    """{(qid, key): score} of texts of words that need no n-grams; queries have their terms."""
+    import math
+    from collections import Counter
+
+    texts = [(key, Counter(body.split())) for key, body in rows]
+    mean, df = sum(x.total() for _, x in texts) / len(texts), Counter(w for _, x in texts for w in x)
+    idf = lambda w: math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5))
+    kept = {q: sorted((w for w in set(text.split()) if df[w]), key=lambda w: (df[w], w))[:most] for q, text in queries}
+    return {(q, key): x for q, terms in kept.items() for key, tf in texts if (x := sum(idf(w) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * tf.total() / mean)) for w in terms if tf[w]))}
+
+
+@pytest.fixture(scope="module")
+def many():
+    import random
+
+    rng = random.Random(3)
+    words = lambda most: " ".join(f"w{min(int(rng.expovariate(0.04)), 150)} v{rng.randrange(300)}" for _ in range(rng.randrange(1, most)))
+    return [(f"c{i:04}", f"d{i % 50}", words(25)) for i in range(2500)], [(f"q{i}", words(9)) for i in range(40)]
+
+
+def test_search_takes_the_terms_of_few_queries_through_the_driver_at_a_time(spark, many, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("all terms of all queries in the driver"))
+    monkeypatch.setattr(index, "QUERIES", 15)
+    rows, queries = many
+    got = index.search(spark.createDataFrame(rows, "chunk_id string, doc_id string, body string"), spark.createDataFrame(queries, "qid string, text string"), 7).collect()
+    want = scored_by_hand([(c, body) for c, _, body in rows], queries)
+    for qid, _ in queries:
+        best = sorted(((-round(x, 6), c) for (q, c), x in want.items() if q == qid))[:7]
+        own = sorted((r["rank"], r["chunk_id"], r["doc_id"], round(r["score"], 6)) for r in got if r["qid"] == qid)
+        assert [c for _, c, _, _ in own] == [c for _, c in best]
+        assert [x for *_, x in own] == pytest.approx([-x for x, _ in best]) and all(d == f"d{int(c[1:]) % 50}" for _, c, d, _ in own)
+
+
 def test_terms_meet_in_the_documents_of_a_query(spark, docs):
     q = spark.createDataFrame([("q", "apple plum pear"), ("r", "pear")], "qid string, text string")
     scope = spark.createDataFrame([("q", "d1"), ("r", "d2"), ("r", "d2")], "qid string, doc_id string")
