@@ -102,6 +102,22 @@ def test_search_takes_the_terms_of_few_queries_through_the_driver_at_a_time(spar
         assert [x for *_, x in own] == pytest.approx([-x for x, _ in best]) and all(d == f"d{int(c[1:]) % 50}" for _, c, d, _ in own)
 
 
+def test_document_search_in_domains(spark, many):
+    rows, queries = many
+    chunks, asked = spark.createDataFrame(rows, "chunk_id string, doc_id string, body string"), spark.createDataFrame(queries, "qid string, text string")
+    of = {q: [{"a"}, {"b"}, {"a", "b"}, set()][i % 4] for i, (q, _) in enumerate(queries)}, {f"d{i}": [{"a"}, {"b"}, {"c"}, {"a", "b"}, set()][i % 5] for i in range(60)}
+    domains = tuple(spark.createDataFrame([(x, d) for x, own in each.items() for d in own or [None]], f"{key} string, domain string") for each, key in zip(of, ("qid", "doc_id")))
+    found = index.document_search(chunks, asked, 4, domains=domains)
+    got = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in found.collect()}
+    texts = [(f"d{i}", " ".join(body for _, d, body in rows if d == f"d{i}")) for i in range(50)]
+    every = scored_by_hand(texts, queries)
+    want = {(q, n): (d, -x) for q, _ in queries for n, (x, d) in enumerate(sorted((-x, d) for (own, d), x in every.items() if own == q and of[0][q] & of[1][d])[:4], 1)}
+    assert {x: d for x, (d, _) in got.items()} == {x: d for x, (d, _) in want.items()} and len(got) > 100
+    assert [got[x][1] for x in sorted(got)] == pytest.approx([want[x][1] for x in sorted(got)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan  # queries meet documents of their domain where these are scored, not in pairs
+
+
 def test_terms_meet_in_the_documents_of_a_query(spark, docs):
     q = spark.createDataFrame([("q", "apple plum pear"), ("r", "pear")], "qid string, text string")
     scope = spark.createDataFrame([("q", "d1"), ("r", "d2"), ("r", "d2")], "qid string, doc_id string")
