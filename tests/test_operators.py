@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,20 @@ def test_document_search_in_domains(spark, many):
     assert "MapInArrow" in plan  # queries meet documents of their domain where these are scored, not in pairs
 
 
+def test_counts_of_scores_are_made_in_blocks(spark, many):
+    from millrace.plans import retrieval
+
+    rows, queries = many
+    chunks = spark.createDataFrame([(c, body) for c, _, body in rows], "chunk_id string, body string")
+    got = {r["qid"]: (r["n"], r["top"]) for r in index.score_counts(index.tokenized(chunks, F.col("body")), spark.createDataFrame(queries, "qid string, text string"), 5).collect()}
+    every = scored_by_hand([(c, body) for c, _, body in rows], queries, 5)
+    want = {q: own for q, _ in queries if (own := [x for (o, _), x in every.items() if o == q])}
+    assert {q: n for q, (n, _) in got.items()} == {q: len(x) for q, x in want.items()}
+    assert [got[q][1] for q in sorted(got)] == pytest.approx([max(want[q]) for q in sorted(got)])
+    found = retrieval.x_score_repeated(spark, "/root/testdata/sf0.001") if Path("/root/testdata/sf0.001").exists() else None
+    assert found is None or "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each question and chunk
+
+
 def test_terms_meet_in_the_documents_of_a_query(spark, docs):
     q = spark.createDataFrame([("q", "apple plum pear"), ("r", "pear")], "qid string, text string")
     scope = spark.createDataFrame([("q", "d1"), ("r", "d2"), ("r", "d2")], "qid string, doc_id string")
