@@ -133,6 +133,28 @@ def test_counts_of_scores_are_made_in_blocks(spark, many):
     assert found is None or "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each question and chunk
 
 
+def test_field_search_takes_the_terms_of_few_queries_through_the_driver_at_a_time(spark, many, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("all terms of all queries in the driver"))
+    monkeypatch.setattr(index, "QUERIES", 15)
+    rows, queries = many
+    title = lambda c, body: " ".join(body.split()[: int(c[1:]) % 4])
+    chunks = spark.createDataFrame([(c, d, body, title(c, body)) for c, d, body in rows], "chunk_id string, doc_id string, body string, title string")
+    asked = spark.createDataFrame([(q, text, [], []) for q, text in queries], "qid string, text string, numbers array<string>, dates array<string>")
+    got = {(r["qid"], r["rank"]): (r["chunk_id"], r["score"]) for r in index.field_search(chunks, asked, {"base": "body", "title": "title"}, 4).collect()}
+    total = {}
+    for share, part in ((1.0, scored_by_hand([(c, body) for c, _, body in rows], queries)), (0.3, scored_by_hand([(c, title(c, body)) for c, _, body in rows], queries, 32))):
+        top = {}
+        for (q, _), x in part.items():
+            top[q] = max(x, top.get(q, 0))
+        for (q, c), x in part.items():
+            total[q, c] = total.get((q, c), 0) + share * x / top[q]
+    want = {(q, n): (c, -x) for q, _ in queries for n, (x, c) in enumerate(sorted((-round(x, 6), c) for (own, c), x in total.items() if own == q)[:4], 1)}
+    assert {x: c for x, (c, _) in got.items()} == {x: c for x, (c, _) in want.items()}
+    assert [got[x][1] for x in sorted(got)] == pytest.approx([want[x][1] for x in sorted(got)], abs=1e-6)
+
+
 def test_terms_meet_in_the_documents_of_a_query(spark, docs):
     q = spark.createDataFrame([("q", "apple plum pear"), ("r", "pear")], "qid string, text string")
     scope = spark.createDataFrame([("q", "d1"), ("r", "d2"), ("r", "d2")], "qid string, doc_id string")
