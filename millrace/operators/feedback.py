@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ def feedback_queries(targets: DataFrame, seeds: DataFrame, rarity: DataFrame, n_
     """(qid, query): the first two variants of each target with up to ``most`` new terms of its best hits; targets without new terms
     have no row.
 
-    ``targets`` has qid, variants; ``seeds`` qid, rank, text, title, section, clause_id, chunk_type, numbers, dates; ``rarity`` term, idf.
-    A term is new if some token of it isn't in the query; it scores by its rarest token and by where it stands, ties by the rank of
-    its hit and its place there. Only the terms of a few hits meet the rarities.
+    ``targets`` has qid, variants; ``seeds`` qid, rank, text, title, section, clause_id, chunk_type, numbers, dates; ``rarity`` h, idf of
+    all terms, h their 64-bit hash. A term is new if some token of it isn't in the query; it scores by its rarest token and by where it
+    stands, ties by the rank of its hit and its place there. Rarity belongs to the term, so of its places in a query's hits the one worth
+    most is kept first, and each different term meets the rarities once. The tokens of queries and the rarities are far larger than
+    their tables on disk, by which Spark would broadcast them: they are joined by sorting.
     """
     base = targets.select("qid", F.array_join(F.slice("variants", 1, 2), " ").alias("query")).withColumn("_q", F.array_distinct(tokenize(F.col("query"))))
     kind, section = F.col("chunk_type"), F.coalesce("section", F.lit(""))
@@ -35,10 +38,14 @@ def feedback_queries(targets: DataFrame, seeds: DataFrame, rarity: DataFrame, n_
         _worth(_if(kind.isin("table", "figure"), kind), KIND, 1), _worth(entities(F.col("text")), ENTITY, 8), _worth(F.col("numbers"), NUMBER, 4), _worth(F.col("dates"), NUMBER, 4),
     )
     rows = seeds.filter(F.col("rank") <= n_seeds).select("qid", "rank", F.posexplode(made).alias("at", "x")).select("qid", "rank", "at", "x.term", "x.bonus").filter(F.length("term") >= 2)
-    rows = rows.withColumn("_t", F.array_distinct(tokenize(F.col("term")))).join(base, "qid").filter(F.size(F.array_except("_t", "_q")) > 0)
-    tokens = rows.select("qid", "rank", "at", "term", "bonus", F.explode("_t").alias("token")).join(rarity.select(F.col("term").alias("token"), "idf"), "token", "left")
-    scored = tokens.groupBy("qid", "rank", "at", "term", "bonus").agg(F.max(F.coalesce("idf", F.lit(0.0))).alias("idf")).withColumn("score", F.round(F.col("idf") + F.col("bonus"), 6))
-    best = scored.groupBy("qid", "term").agg(F.min(F.struct((-F.col("score")).alias("s"), "rank", "at")).alias("o"))
+    # Bonuses differ by more than rounding hides, so the best place doesn't depend on the rarity.
+    rows = rows.groupBy("qid", "term").agg(F.min(F.struct((-F.col("bonus")).alias("b"), "rank", "at")).alias("o"))
+    rows = rows.withColumn("_t", F.array_distinct(tokenize(F.col("term")))).join(base.hint("merge"), "qid").filter(F.size(F.array_except("_t", "_q")) > 0)
+    rows = rows.select("qid", "term", "o").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = rows.select("term").distinct().select("term", F.explode(F.array_distinct(tokenize(F.col("term")))).alias("token")).select("term", F.xxhash64("token").alias("h"))
+    rarest = tokens.join(rarity.hint("merge"), "h", "left").groupBy("term").agg(F.max(F.coalesce("idf", F.lit(0.0))).alias("idf"))
+    score = F.round(F.col("idf") - F.col("o.b"), 6)
+    best = rows.join(rarest.hint("merge"), "term").select("qid", "term", F.struct((-score).alias("s"), "o.rank", "o.at").alias("o"))
     placed = best.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("o"))).filter(F.col("n") <= most)
     chosen = placed.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]), " ").alias("more"))
-    return base.join(chosen, "qid").select("qid", F.trim(F.concat_ws(" ", "query", "more")).alias("query"))
+    return base.drop("_q").join(chosen.hint("merge"), "qid").select("qid", F.trim(F.concat_ws(" ", "query", "more")).alias("query"))

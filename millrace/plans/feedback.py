@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.text import token_rows
 from millrace.operators import asking, feedback, index
 from millrace.plans import sqltext as S
 from millrace.plans.asking import TARGETS, _VARIANTS, entities, sq
@@ -28,8 +27,9 @@ def _w(items: str, bonus: float, most: int) -> str:
     bs as (select qid, term, row_number() over (partition by qid order by score desc, rank, at_) as n from (select * from sc qualify row_number() over (partition by qid, term order by score desc, rank, at_) = 1))
     select qid, trim(concat_ws(' ', query, more)) as query from bq join (select qid, string_agg(term, ' ' order by n) as more from bs where n <= 4 group by qid) using (qid)""")
 def q_feedback(spark, base):
-    tokens = index.tokenized(chunks(spark, base), F.col("body"))
-    df = token_rows(tokens, "runs", "chunk_id").distinct().groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    rarity = df.withColumn("n", index.corpus_stats(tokens).select("n").scalar()).select("term", index.idf(F.col("n"), F.col("df")).alias("idf"))
+    # Partitioned by chunk, the terms of a chunk are counted where they are made.
+    tokens = index.tokenized(chunks(spark, base), F.col("body")).repartition("chunk_id")
+    df = index.document_frequencies(tokens)
+    rarity = df.withColumn("n", index.corpus_stats(tokens).select("n").scalar()).select("h", index.idf(F.col("n"), F.col("df")).alias("idf"))
     seeds = candidates(spark, base).join(table(spark, base, "raw_documents", "doc_id", "title"), "doc_id", "left")
     return feedback.feedback_queries(asking.retrieval_targets(questions(spark, base)), seeds, rarity)

@@ -164,6 +164,23 @@ def test_terms_meet_in_the_documents_of_a_query(spark, docs):
     assert len(every) == 5 and len(held) == 3 and held == pytest.approx({x: every[x] for x in held})
 
 
+def test_feedback_broadcasts_neither_tokens_of_queries_nor_rarities(spark, tmp_path):
+    from millrace.operators import feedback
+
+    seeds = [("q1", 2, "x7 y8", "Alpha Beta", "s3", "", "table", ["12%", "35"], []), ("q1", 1, None, "", "s3", "Alpha Beta", "text", ["35"], None), ("q2", 1, None, "known", "", "", None, None, None), ("q1", 7, None, "late", "", "", None, None, None)]
+    frames = {
+        "targets": spark.createDataFrame([("q1", ["what about", "12%", "late"]), ("q2", ["known"])], "qid string, variants array<string>"),
+        "seeds": spark.createDataFrame(seeds, "qid string, rank int, text string, title string, section string, clause_id string, chunk_type string, numbers array<string>, dates array<string>"),
+        "rarity": spark.createDataFrame([("alpha", 2.0), ("beta", 5.0), ("35", 1.0), ("s3", 1.0), ("unused", 9.0)], "term string, idf double").select(F.xxhash64("term").alias("h"), "idf"),
+    }
+    for name, frame in frames.items():
+        frame.write.parquet(str(tmp_path / name))
+    found = feedback.feedback_queries(*[spark.read.parquet(str(tmp_path / name)) for name in frames])
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    # Alpha Beta as a clause 5 + 1.0; s3 1 + 0.4; 35 1 + 0.15; table 0 + 0.2.
+    assert list(map(tuple, found.collect())) == [("q1", "what about 12% Alpha Beta s3 35 table")]
+
+
 def test_written_index(spark, docs, tmp_path):
     q = spark.createDataFrame([("q", "apple fig")], "qid string, text string")
     index.write_index(docs, str(tmp_path))
