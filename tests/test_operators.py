@@ -155,6 +155,25 @@ def test_field_search_takes_the_terms_of_few_queries_through_the_driver_at_a_tim
     assert [got[x][1] for x in sorted(got)] == pytest.approx([want[x][1] for x in sorted(got)], abs=1e-6)
 
 
+def test_plans_of_a_field_search_stay_small_and_broadcasts_count_every_field(spark, many, monkeypatch):
+    rows, asked = many
+    chunks, queries = spark.createDataFrame(rows[:300], "chunk_id string, doc_id string, body string"), spark.createDataFrame(asked, "qid string, text string")
+    bodies = chunks.select("chunk_id", "doc_id", *[F.col("body").alias(f) for f in ("base", "title", "section", "clause")])
+    search = lambda: index.field_search(bodies, queries, {f: f for f in ("base", "title", "section", "clause")}, 3)
+    plans, held, join = [], [], F.broadcast
+    score = index.block_best
+    monkeypatch.setattr(index, "block_best", lambda found, *a, **kw: plans.append(found._jdf.queryExecution().executedPlan().toString()) or score(found, *a, **kw))
+    monkeypatch.setattr(F, "broadcast", lambda df: held.append(df.columns) or join(df))
+    every = sorted(map(tuple, search().collect()))
+    assert plans[0].count("InMemoryTableScan") == 1  # the texts; what was made of the queries is a scan of rows
+    terms = queries.select(T.term_runs(F.col("text")).alias("runs"))
+    distinct = T.token_rows(terms, "runs").distinct().count()
+    monkeypatch.setattr(index, "MOST_DISTINCT", distinct + 1)
+    before, held[:] = [x for x in held if "one" in x], []
+    assert before and every == sorted(map(tuple, search().collect()))
+    assert not [x for x in held if "one" in x]  # four fields have four times as many rows
+
+
 def test_terms_meet_in_the_documents_of_a_query(spark, docs):
     q = spark.createDataFrame([("q", "apple plum pear"), ("r", "pear")], "qid string, text string")
     scope = spark.createDataFrame([("q", "d1"), ("r", "d2"), ("r", "d2")], "qid string, doc_id string")
